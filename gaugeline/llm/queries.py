@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gaugeline.llm._common import read_table
 
@@ -18,8 +17,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.token_counts import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.bpe_codec import digests
+
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_token_counts": op4_token_counts,
+    "op6_bpe_codec": op6_bpe_codec,
 }
 
 #: DuckDB SQL with the same rows and columns, where SQL can express the query.
