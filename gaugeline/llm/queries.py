@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugeline.llm._common import read_table
 
@@ -29,10 +30,18 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.simhash import components
+
+    found = components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
+    "op8_simhash": op8_simhash,
 }
 
 #: DuckDB SQL with the same rows and columns, where SQL can express the query.
