@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm import mixing
 from gaugeline.llm._common import read_table
 
 
@@ -18,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.token_counts import count_tokens
 
@@ -39,10 +44,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_simhash": op8_simhash,
 }
 
 #: DuckDB SQL with the same rows and columns, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
+}
