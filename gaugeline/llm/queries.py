@@ -42,12 +42,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm import pii
+
+    return pii.find(read_table(spark, sf_dir, "documents"), *pii.train(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
 }
 
 #: DuckDB SQL with the same rows and columns, where SQL can express the query.
