@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import mixing
+from gaugeline.llm import bsi_topk, mixing
 from gaugeline.llm._common import read_table
 
 
+def op1_bsi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bsi_topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm import quality_rules as q
 
@@ -49,6 +53,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bsi_topk": op1_bsi_topk,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL with the same rows and columns, where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {
+    "op1_bsi_topk": bsi_topk.ORACLE,
     "op3_mixing": mixing.ORACLE,
 }
