@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bsi_topk, mixing
+from gaugeline.llm import bsi_topk, mixing, warc
 from gaugeline.llm._common import read_table
 
 
@@ -33,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.bpe_codec import digests
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_warc": op5_warc,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
@@ -66,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_bsi_topk": bsi_topk.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
