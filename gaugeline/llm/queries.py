@@ -62,6 +62,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"), *pii.train(spark))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.substring_dedup import dedup
+
+    return dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bsi_topk": op1_bsi_topk,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL with the same rows and columns, where SQL can express the query.
