@@ -204,10 +204,10 @@ def channel_overrides(spark: SparkSession, d: str) -> DataFrame:
 # ---- scores and report -------------------------------------------------------------------------------------------
 
 
-@query("video_measures", BASE + "SELECT run_id, video_id, artist_id, round(age, 6) AS age, round(vel, 4) AS vel, round(eng, 8) AS eng, round(weight, 8) AS weight FROM rated")
+@query("video_measures", BASE + "SELECT run_id, video_id, artist_id, round(age, 6) AS age, vel, eng, round(weight, 8) AS weight FROM rated")
 def video_measures(spark: SparkSession, d: str) -> DataFrame:
     m = stages_of(spark, d).measured
-    return m.select("run_id", "video_id", "artist_id", F.round("age", 6).alias("age"), F.round("vel", 4).alias("vel"), F.round("eng", 8).alias("eng"), F.round("weight", 8).alias("weight"))
+    return m.select("run_id", "video_id", "artist_id", F.round("age", 6).alias("age"), "vel", "eng", F.round("weight", 8).alias("weight"))
 
 
 @query("artist_metrics", BASE + "SELECT run_id, artist_id, signals, competition, round(velocity_median, 4) AS velocity_median, round(engagement, 8) AS engagement FROM metrics")
@@ -296,3 +296,416 @@ def score_scalars(spark: SparkSession, d: str) -> DataFrame:
         "p_partkey", S.base_competition(F.col("p_size")).alias("base_level"), S.velocity_display(F.col("p_retailprice")).alias("shown_velocity"), score.alias("score"), S.score_display(score).alias("shown_score"),
         F.round(S.growth(F.col("p_size"), F.col("p_size") % 7), 8).alias("growth"), F.round(S.ln_saturating(F.col("p_size"), 20), 8).alias("saturated"), F.expr(replay.derived_id(7, "p_partkey")).alias("derived"),
     )
+
+
+# ---- event log -----------------------------------------------------------------------------------------------------
+
+
+
+@query(
+    "funnel_ratios",
+    EV + """, c AS (SELECT count(DISTINCT CASE WHEN event_type = 'report_opened' THEN producer_id END) AS opened,
+    count(DISTINCT CASE WHEN event_type = 'intent_to_produce_declared' THEN producer_id END) AS declared, count(*) FILTER (event_type = 'intent_to_produce_declared') AS intents,
+    count(*) FILTER (event_type = 'followup_confirmed_produced') AS confirmed, count(DISTINCT CASE WHEN event_type = 'wtp_yes' THEN producer_id END) AS wtp_yes,
+    count(DISTINCT CASE WHEN event_type IN ('wtp_yes', 'wtp_no') THEN producer_id END) AS wtp_any FROM ev)
+SELECT *, declared / nullif(opened, 0) AS declared_intent, confirmed / nullif(intents, 0) AS followup_confirmed, wtp_yes / nullif(wtp_any, 0) AS positive_wtp, opened < 15 AS directional_only FROM c""",
+)
+def funnel_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return funnel.ratios(events_of(spark, d))
+
+
+@query(
+    "funnel_hot_usefulness",
+    EV + """, i AS (SELECT report_id, artist_id, bool_or(event_type = 'report_opened') AS v, bool_or(event_type = 'opportunity_marked_useful') AS u FROM ev WHERE tag = 'HOT' GROUP BY ALL)
+SELECT count(*) FILTER (v) AS viewed, count(*) FILTER (v AND u) AS useful, count(*) FILTER (v AND u) / nullif(count(*) FILTER (v), 0) AS hot_usefulness FROM i""",
+)
+def funnel_hot_usefulness(spark: SparkSession, d: str) -> DataFrame:
+    return funnel.hot_usefulness(events_of(spark, d))
+
+
+@query(
+    "funnel_open_rate",
+    EV + """, a AS (SELECT DISTINCT concat('p-', CAST(c_custkey AS STRING)) AS producer_id FROM customer)
+SELECT count(*) AS approved, count(o.producer_id) AS opened, count(o.producer_id) / nullif(count(*), 0) AS open_rate
+FROM a LEFT JOIN (SELECT DISTINCT producer_id FROM ev WHERE event_type = 'report_opened') o USING (producer_id)""",
+)
+def funnel_open_rate(spark: SparkSession, d: str) -> DataFrame:
+    return funnel.open_rate(A.relation(spark, d, "SELECT concat('p-', CAST(c_custkey AS STRING)) AS producer_id FROM {customer}"), events_of(spark, d))
+
+
+FIRST = "SELECT producer_id, artist_id, report_id, event_id, created_at FROM ev WHERE event_type = 'intent_to_produce_declared' QUALIFY row_number() OVER (PARTITION BY producer_id, artist_id, report_id ORDER BY created_at, event_id) = 1"
+
+
+@query("funnel_first_intents", EV + FIRST)
+def funnel_first_intents(spark: SparkSession, d: str) -> DataFrame:
+    return funnel.first_intents(events_of(spark, d))
+
+
+@query("funnel_due_followups", EV + f", f AS ({FIRST}) SELECT *, created_at + INTERVAL 10 DAY AS due_at FROM f WHERE created_at + INTERVAL 10 DAY <= TIMESTAMP '2024-01-20 00:00:00'")
+def funnel_due_followups(spark: SparkSession, d: str) -> DataFrame:
+    return funnel.due_followups(funnel.first_intents(events_of(spark, d)), "2024-01-20 00:00:00")
+
+
+@query("funnel_latest_wtp", EV + "SELECT producer_id, event_id, event_type = 'wtp_yes' AS would_pay FROM ev WHERE event_type IN ('wtp_yes', 'wtp_no') QUALIFY row_number() OVER (PARTITION BY producer_id ORDER BY created_at DESC, event_id DESC) = 1")
+def funnel_latest_wtp(spark: SparkSession, d: str) -> DataFrame:
+    return funnel.latest_wtp(events_of(spark, d))
+
+
+@query(
+    "funnel_advance",
+    EV + """, c AS (SELECT count(DISTINCT CASE WHEN event_type = 'report_opened' THEN producer_id END) AS opened,
+    count(DISTINCT CASE WHEN event_type = 'intent_to_produce_declared' THEN producer_id END) AS declared, count(*) FILTER (event_type = 'intent_to_produce_declared') AS intents,
+    count(*) FILTER (event_type = 'followup_confirmed_produced') AS confirmed, count(DISTINCT CASE WHEN event_type = 'wtp_yes' THEN producer_id END) AS yes,
+    count(DISTINCT CASE WHEN event_type IN ('wtp_yes', 'wtp_no') THEN producer_id END) AS asked FROM ev)
+SELECT opened, opened >= 15 AND coalesce(declared / nullif(opened, 0) >= 0.3, false) AND coalesce(confirmed / nullif(intents, 0) >= 0.5, false) AND coalesce(yes / nullif(asked, 0) >= 0.25, false) AS advance FROM c""",
+)
+def funnel_advance(spark: SparkSession, d: str) -> DataFrame:
+    return funnel.advance(events_of(spark, d))
+
+
+# ---- raw layer -----------------------------------------------------------------------------------------------------
+
+PAGES = """
+SELECT CAST(conv_id AS STRING) AS run_id, CAST(turn AS INT) AS page, CASE WHEN turn > 0 THEN concat('t', CAST(turn AS STRING)) END AS page_token,
+  concat('t', CAST(turn + 1 AS STRING)) AS next_token FROM {conversations}
+"""
+ITEMS = """
+SELECT concat('run-', CAST(o_custkey % 40 AS STRING)) AS run_id, CAST(l_linenumber AS INT) AS page, CAST(l_suppkey % 50 AS INT) AS item, concat('v', CAST(l_partkey AS STRING)) AS video_id
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+"""
+CHARGES = "SELECT concat('q-', CAST(user_id % 40 AS STRING)) AS run_id, event_id AS seq, CASE WHEN event_type = 'view' THEN 100 ELSE 1 END AS units, event_type = 'error' AS is_retry FROM {events}"
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return A.relation(spark, d, ITEMS)
+
+
+FIRST_IDS = f"""WITH i AS ({A.duck(ITEMS)}), f AS (SELECT run_id, video_id, min(page * 1000 + item) AS place FROM i GROUP BY ALL),
+r AS (SELECT run_id, video_id, row_number() OVER (PARTITION BY run_id ORDER BY place, video_id)::INTEGER AS position FROM f), u AS (SELECT * FROM r WHERE position <= 500) """
+
+
+@query("first_unique_ids", FIRST_IDS + "SELECT run_id, video_id, position, ceil(position / 50)::INTEGER AS batch FROM u")
+def first_unique_ids(spark: SparkSession, d: str) -> DataFrame:
+    return raw.batches(raw.first_unique(_items(spark, d)))
+
+
+@query(
+    "token_chain",
+    f"""WITH RECURSIVE p AS ({A.duck(PAGES)}), w AS (SELECT run_id, page_token, next_token, 1 AS step FROM p WHERE page_token IS NULL
+  UNION ALL SELECT p.run_id, p.page_token, p.next_token, w.step + 1 FROM w JOIN p ON p.run_id = w.run_id AND p.page_token = w.next_token WHERE w.step < 100)
+SELECT run_id, page_token, step FROM w""",
+)
+def token_chain(spark: SparkSession, d: str) -> DataFrame:
+    return raw.token_chain(spark, A.relation(spark, d, PAGES), raw.PAGE_CEILING)
+
+
+@query(
+    "quota_ledger",
+    f"""WITH c AS ({A.duck(CHARGES)}), t AS (SELECT *, sum(units) OVER w AS total, coalesce(sum(CASE WHEN is_retry THEN units END) OVER w, 0) AS surplus FROM c
+  WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT run_id, seq, units, is_retry, total::BIGINT AS total, surplus::BIGINT AS surplus, total <= 2000 AND surplus <= 500 AS accepted FROM t""",
+)
+def quota_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return raw.quota_ledger(A.relation(spark, d, CHARGES))
+
+
+@query(
+    "run_states",
+    """SELECT CAST(o_custkey AS STRING) AS run_id, CASE WHEN max(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END) = 3 THEN 'failed'
+  WHEN max(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END) = 2 THEN 'finalized' ELSE 'collecting' END AS state FROM orders GROUP BY o_custkey""",
+)
+def run_states(spark: SparkSession, d: str) -> DataFrame:
+    return raw.run_states(A.relation(spark, d, "SELECT CAST(o_custkey AS STRING) AS run_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'finalized' ELSE 'collecting' END AS mark FROM {orders}"))
+
+
+
+
+@query("project_videos", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT run_id, video_id, channel_id, source_title, views, likes, comments, published_at FROM v")
+def project_videos(spark: SparkSession, d: str) -> DataFrame:
+    """P1 and P3 on bodies made of the videos: what was null is an absent key."""
+    text = lambda c: F.col(c).cast("string")
+    body = F.to_json(
+        F.struct(
+            F.lit("video").alias("kind"), F.col("video_id").alias("id"), F.struct(F.col("channel_id").alias("channelId"), F.col("source_title").alias("title"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt")).alias("snippet"),
+            F.struct(text("views").alias("viewCount"), text("likes").alias("likeCount"), text("comments").alias("commentCount")).alias("statistics"),
+        )
+    )
+    return raw.project_videos(videos_of(spark, d).select("run_id", body.alias("body")))
+
+
+@query("project_channels", f"WITH c AS ({A.duck(A.CHANNELS)}) SELECT channel_id, title, subscriber_count, NULL::BIGINT AS view_count, 0::BIGINT AS upload_count FROM c")
+def project_channels(spark: SparkSession, d: str) -> DataFrame:
+    c = A.relation(spark, d, A.CHANNELS)
+    body = F.to_json(F.struct(F.lit("channel").alias("kind"), F.col("channel_id").alias("id"), F.struct("title").alias("snippet"), F.struct(F.lit("0").alias("videoCount"), F.col("subscriber_count").cast("string").alias("subscriberCount")).alias("statistics")))
+    return raw.project_channels(c.select(body.alias("body")))
+
+
+@query(
+    "page_items",
+    f"WITH i AS ({A.duck(ITEMS)}), p AS (SELECT run_id, page, list(video_id ORDER BY item, video_id) AS ids FROM i GROUP BY ALL) SELECT run_id, page, unnest(range(len(ids)))::INTEGER AS item, unnest(ids) AS video_id FROM p",
+)
+def page_items(spark: SparkSession, d: str) -> DataFrame:
+    """J11 on page bodies made of the items."""
+    entry = F.struct(F.col("item"), F.col("video_id"))
+    pages = _items(spark, d).groupBy("run_id", "page").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    body = F.to_json(F.struct(F.lit("page").alias("kind"), F.transform("all", lambda x: F.struct(F.struct(x["video_id"].alias("videoId")).alias("id"))).alias("items")))
+    return raw.page_items(pages.select("run_id", "page", body.alias("body")))
+
+
+@query("transport_keys", "SELECT event_id, event_id % 7 = 0 AS carries FROM events")
+def transport_keys(spark: SparkSession, d: str) -> DataFrame:
+    """P4."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit('{"id": "x", "headers": {}}')).when(F.col("event_id") % 7 == 1, F.lit('{"id": "key", "items": [{"key": 1}]}')).otherwise(F.lit('{"id": 1}')).alias("body"))
+    return e.select("event_id", raw.carries_transport(F.col("body")).alias("carries"))
+
+
+@query("new_rows", "SELECT s_nationkey AS k FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey < 2")
+def new_rows(spark: SparkSession, d: str) -> DataFrame:
+    """S8, R7."""
+    nation = spark.read.parquet(f"{d}/nation.parquet").where("n_regionkey < 2").select(F.col("n_nationkey").alias("k"))
+    return raw.new_rows(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("k")), nation, ["k"])
+
+
+@query(
+    "returned_ids",
+    """WITH q AS (SELECT DISTINCT 'v' || p_partkey AS video_id FROM part WHERE p_partkey % 3 <> 0), r AS (SELECT 'v' || l_partkey AS video_id, count(*) AS n FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 <> 0 GROUP BY 1)
+SELECT coalesce(q.video_id, r.video_id) AS video_id, CASE WHEN n IS NULL THEN 'missing' WHEN q.video_id IS NULL THEN 'extra' ELSE 'duplicate' END AS fault FROM q FULL JOIN r USING (video_id) WHERE n IS NULL OR q.video_id IS NULL OR n > 1""",
+)
+def returned_ids(spark: SparkSession, d: str) -> DataFrame:
+    asked = A.relation(spark, d, "SELECT DISTINCT concat('v', CAST(p_partkey AS STRING)) AS video_id FROM {part} WHERE p_partkey % 3 <> 0")
+    return raw.returned_ids(asked, A.relation(spark, d, "SELECT concat('v', CAST(l_partkey AS STRING)) AS video_id FROM {lineitem} WHERE l_linenumber = 1 AND l_partkey % 5 <> 0"))
+
+
+@query(
+    "model_replies",
+    """SELECT part.p_partkey, CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN NULL END AS candidate, CASE WHEN p_size % 5 > 1 THEN 'llm_contract_violation' END AS error FROM part""",
+)
+def model_replies(spark: SparkSession, d: str) -> DataFrame:
+    """F26."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    reply = F.element_at(F.array(F.to_json(F.struct(F.col("p_name").alias("candidate"))), F.lit('{"candidate": null}'), F.lit('{"candidate": 5}'), F.lit('{"candidate": "a", "x": 1}'), F.lit("not json")), (F.col("p_size") % 5 + 1).cast("int"))
+    candidate, error = N.parse_reply(F.col("reply"))
+    return p.select("p_partkey", reply.alias("reply")).select("p_partkey", candidate.alias("candidate"), error.alias("error"))
+
+
+# ---- gates: each query gives the rows that break a rule -------------------------------------------------------------
+
+
+@query("gate_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) <> 1")
+def gate_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return gates.duplicates(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+
+
+@query("gate_nulls", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT video_id FROM v WHERE views IS NULL OR likes IS NULL")
+def gate_nulls(spark: SparkSession, d: str) -> DataFrame:
+    return gates.nulls(videos_of(spark, d), ["views", "likes"]).select("video_id")
+
+
+@query("gate_blanks", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT video_id FROM v WHERE coalesce(trim(source_title), '') = ''")
+def gate_blanks(spark: SparkSession, d: str) -> DataFrame:
+    return gates.blanks(videos_of(spark, d), ["source_title"]).select("video_id")
+
+
+@query(
+    "gate_set_difference",
+    """(SELECT c_custkey AS k, 'left' AS side FROM customer EXCEPT SELECT o_custkey, 'left' FROM orders WHERE o_totalprice > 100000)
+UNION ALL (SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_totalprice > 100000 AND o_custkey NOT IN (SELECT c_custkey FROM customer))""",
+)
+def gate_set_difference(spark: SparkSession, d: str) -> DataFrame:
+    rich = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 100000").select(F.col("o_custkey").alias("k"))
+    return gates.set_difference(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k")), rich, ["k"])
+
+
+@query("gate_orphans", "SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def gate_orphans(spark: SparkSession, d: str) -> DataFrame:
+    parents = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"))
+    return gates.orphans(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("k")), parents, ["k"])
+
+
+@query("gate_missing_channels", BASE + "SELECT DISTINCT run_id, channel_id FROM mapped WHERE channel_id NOT IN (SELECT channel_id FROM channels WHERE subscriber_count IS NOT NULL)")
+def gate_missing_channels(spark: SparkSession, d: str) -> DataFrame:
+    r = relations(spark, d)
+    return C.missing_records(stages_of(spark, d).mapped, r.channels.where("subscriber_count IS NOT NULL")).select("run_id", "channel_id")
+
+
+@query("gate_projection", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT video_id FROM v WHERE views IS DISTINCT FROM coalesce(views, 0) OR likes IS DISTINCT FROM coalesce(likes, 0)")
+def gate_projection(spark: SparkSession, d: str) -> DataFrame:
+    """A projection that took null for 0 is found."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return gates.unequal(videos_of(spark, d), [(F.col("views"), zero("views")), (F.col("likes"), zero("likes"))]).select("video_id")
+
+
+@query("gate_future", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT video_id FROM v WHERE published_at > window_end - INTERVAL 20 DAY")
+def gate_future(spark: SparkSession, d: str) -> DataFrame:
+    return gates.future(videos_of(spark, d).withColumn("window_end", F.expr("window_end - INTERVAL 20 DAYS"))).select("video_id")
+
+
+RUNS = "SELECT o_orderkey AS run, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END AS keyword, o_orderstatus AS vertical, CAST(o_orderdate AS TIMESTAMP) AS window_start, CAST(o_orderdate + CASE WHEN o_orderkey % 4 = 0 THEN INTERVAL '29' DAY ELSE INTERVAL '30' DAY END AS TIMESTAMP) AS window_end FROM {orders}"
+
+
+@query("gate_run_identity", "SELECT o_orderkey AS run FROM orders WHERE o_orderkey % 9 = 0 OR o_orderkey % 4 = 0")
+def gate_run_identity(spark: SparkSession, d: str) -> DataFrame:
+    return gates.run_identity(A.relation(spark, d, RUNS)).select("run")
+
+
+@query(
+    "gate_unvisited_pages",
+    f"""WITH RECURSIVE p AS (SELECT * FROM ({A.duck(PAGES)}) WHERE page <> 2), w AS (SELECT run_id, page_token, next_token, 1 AS step FROM p WHERE page_token IS NULL
+  UNION ALL SELECT p.run_id, p.page_token, p.next_token, w.step + 1 FROM w JOIN p ON p.run_id = w.run_id AND p.page_token = w.next_token WHERE w.step < 100)
+SELECT run_id, page_token FROM p WHERE (run_id, coalesce(page_token, '')) NOT IN (SELECT run_id, coalesce(page_token, '') FROM w)""",
+)
+def gate_unvisited_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = A.relation(spark, d, PAGES).where("page <> 2")
+    return gates.unvisited_pages(pages, raw.token_chain(spark, pages, raw.PAGE_CEILING))
+
+
+@query(
+    "gate_dangling_tokens",
+    f"""WITH p AS ({A.duck(PAGES)}) SELECT run_id, next_token AS page_token FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.run_id = a.run_id AND b.page_token = a.next_token) AND run_id::BIGINT % 3 <> 0""",
+)
+def gate_dangling_tokens(spark: SparkSession, d: str) -> DataFrame:
+    pages = A.relation(spark, d, PAGES)
+    full = pages.where("CAST(run_id AS BIGINT) % 3 = 0").select("run_id", F.lit("v").alias("video_id"))
+    return gates.dangling_tokens(pages, full, target=1)
+
+
+@query(
+    "gate_unfinished",
+    """WITH r AS (SELECT o_custkey AS run_id, CASE WHEN o_custkey % 6 = 0 THEN 'failed' ELSE 'finalized' END AS status, count(*) + (o_custkey % 5 = 0)::INT AS video_count FROM orders GROUP BY o_custkey),
+n AS (SELECT o_custkey AS run_id, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1)
+SELECT run_id, status, video_count, n FROM r JOIN n USING (run_id) WHERE status = 'failed' OR video_count <> n OR video_count > 500""",
+)
+def gate_unfinished(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    runs = o.groupBy(F.col("o_custkey").alias("run_id")).agg(F.count("*").alias("c")).select("run_id", F.when(F.col("run_id") % 6 == 0, "failed").otherwise("finalized").alias("status"), (F.col("c") + (F.col("run_id") % 5 == 0).cast("int")).alias("video_count"))
+    return gates.unfinished(runs, o.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("video_id")))
+
+
+@query("gate_several_values", "SELECT p_brand, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
+def gate_several_values(spark: SparkSession, d: str) -> DataFrame:
+    return gates.several_values(spark.read.parquet(f"{d}/part.parquet"), ["p_brand"], ["p_type"])
+
+
+@query("gate_evidence", "SELECT p_partkey FROM part WHERE p_size % 4 <> 0")
+def gate_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Of four shapes only the first is whole."""
+    shapes = ['{"components":[1],"tiebreak":{},"selected_example":{"video_id":"v"}}', '{"components":[],"tiebreak":{},"selected_example":{"video_id":"v"}}', '{"components":[1],"selected_example":{"video_id":"v"}}', '{"components":[1],"tiebreak":{},"selected_example":{"video_id":" "}}']
+    p = spark.read.parquet(f"{d}/part.parquet").withColumn("json", F.element_at(F.array(*map(F.lit, shapes)), (F.col("p_size") % 4 + 1).cast("int")))
+    return gates.bad_evidence(p, "json", {"components": "array", "tiebreak": "object", "selected_example.video_id": "text"}).select("p_partkey")
+
+
+@query("gate_transitions", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 IN (3, 4)")
+def gate_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """A draft, publishing and archiving are allowed; going back and starting published aren't."""
+    k = F.col("o_orderkey") % 5
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.when(k == 1, "draft").when(k == 2, "published").when(k == 3, "archived").alias("old"), F.when(k == 0, "draft").when(k == 1, "published").when(k == 2, "archived").otherwise("published").alias("new"))
+    return gates.bad_transitions(o, gates.REPORT_STATES).select("o_orderkey")
+
+
+@query("gate_locked_rows", "SELECT DISTINCT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('F', 'P') AND o_orderkey % 100 = 0)")
+def gate_locked_rows(spark: SparkSession, d: str) -> DataFrame:
+    """C9, J7."""
+    reports = A.relation(spark, d, "SELECT o_orderkey AS report_id, CASE WHEN o_orderstatus = 'F' THEN 'published' WHEN o_orderstatus = 'P' THEN 'archived' ELSE 'draft' END AS status FROM {orders} WHERE o_orderkey % 100 = 0")
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("report_id"), F.col("l_suppkey").alias("s_suppkey"))
+    return gates.locked_by_reports(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey"), items, reports, ["s_suppkey"])
+
+
+# ---- replay ----------------------------------------------------------------------------------------------------------
+
+
+@query("set_digests", "SELECT l_suppkey, sha256('[' || string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) || ']') AS digest FROM (SELECT l_suppkey, '\"' || l_partkey || '\"' AS l_partkey FROM lineitem) GROUP BY l_suppkey")
+def set_digests(spark: SparkSession, d: str) -> DataFrame:
+    """A16."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", F.col("l_partkey").cast("string").alias("p"))
+    return replay.set_digest(rows, ["l_suppkey"], "p")
+
+
+EVIDENCE = """
+SELECT CAST(o_custkey AS STRING) AS session_id, CAST(1 + o_orderkey % 2 AS INT) AS round, concat('r', CAST((o_orderkey - o_orderkey % 2) % 4 AS STRING)) AS report_id,
+  CAST(CASE WHEN o_custkey % 3 = 0 THEN o_orderkey ELSE o_custkey END AS STRING) AS digest FROM {orders} WHERE o_orderpriority = '1-URGENT'
+"""
+ONE_EACH = "SELECT session_id, round, report_id, min(digest) AS digest FROM ({e}) AS e GROUP BY session_id, round, report_id"
+PAIRS = f"""WITH e AS ({ONE_EACH.format(e=A.duck(EVIDENCE))}), pairs AS (
+  SELECT coalesce(a.session_id, b.session_id) AS session_id, a.digest AS d1, b.digest AS d2 FROM (SELECT * FROM e WHERE round = 1) a
+  FULL JOIN (SELECT * FROM e WHERE round = 2) b ON a.session_id = b.session_id AND a.report_id = b.report_id),
+cmp AS (SELECT session_id, count(*) FILTER (d1 IS NOT NULL AND d2 IS NOT NULL) AS pairs, count(*) FILTER (d1 IS DISTINCT FROM d2) AS mismatches FROM pairs GROUP BY 1)"""
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    return A.relation(spark, d, EVIDENCE).groupBy("session_id", "round", "report_id").agg(F.min("digest").alias("digest"))
+
+
+@query("compare_rounds", PAIRS + " SELECT * FROM cmp")
+def compare_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return replay.compare_rounds(_evidence(spark, d))
+
+
+@query(
+    "pass_gate",
+    PAIRS + """, ev AS (SELECT session_id, count(*) FILTER (round = 1) AS e1, count(*) FILTER (round = 2) AS e2, count(DISTINCT report_id) AS reports FROM e GROUP BY 1),
+t AS (SELECT ev.*, pairs, mismatches, ev.session_id::BIGINT AS k FROM ev JOIN cmp USING (session_id)),
+bad AS (SELECT session_id, unnest([CASE WHEN k % 7 = 0 THEN 'contract' END, CASE WHEN reports <> 2 THEN 'two_reports' END, CASE WHEN k % 5 = 0 THEN 'same_manifest' END, CASE WHEN e1 <> 2 OR e2 <> 2 THEN 'evidence' END,
+    CASE WHEN pairs <> 2 THEN 'pairs' END, CASE WHEN mismatches <> 0 THEN 'no_mismatch' END]) AS violation FROM t)
+SELECT * FROM bad WHERE violation IS NOT NULL""",
+)
+def pass_gate(spark: SparkSession, d: str) -> DataFrame:
+    e = _evidence(spark, d)
+    k = F.col("session_id").cast("long")
+    sessions = e.select("session_id").distinct().select("session_id", F.when(k % 7 == 0, "other").otherwise(COMPARISON_CONTRACT).alias("contract"))
+    rounds = sessions.select("session_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("round")).select(
+        "session_id", "round", F.lit("s").alias("source_run_id"), F.lit("h").alias("snapshot_hash"), F.lit("v").alias("engine_version"), F.sha2(F.when(k % 5 == 0, F.col("round").cast("string")).otherwise("m"), 256).alias("manifest_hash")
+    )
+    return replay.pass_gate(sessions, rounds, e)
+
+
+FACTS = "SELECT event_id AS fact_id, concat('r', CAST(user_id % 7 AS STRING)) AS run_id, CAST(user_id AS STRING) AS video_id, CASE WHEN event_type = 'error' THEN 'old' ELSE 'new' END AS resolver_version, event_type AS reason_code, CAST(ts AS TIMESTAMP) AS created_at FROM {events}"
+
+
+@query("latest_facts", f"SELECT * FROM ({A.duck(FACTS)}) AS f WHERE resolver_version = 'new' QUALIFY row_number() OVER (PARTITION BY run_id, video_id ORDER BY created_at DESC, fact_id DESC) = 1")
+def latest_facts(spark: SparkSession, d: str) -> DataFrame:
+    return replay.latest_facts(A.relation(spark, d, FACTS), "new")
+
+
+@query("missing_facts", BASE + "SELECT run_id, video_id FROM tried WHERE rule_reason <> 'source_title_missing' AND rule_reason <> 'regex_autoaccepted'")
+def missing_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Videos with a title for which only accepted outcomes are facts."""
+    o = stages_of(spark, d).outcomes
+    return replay.missing_facts(o.where("rule_reason <> 'source_title_missing'"), o.where("decision = 'accepted'"))
+
+
+@query(
+    "reviewed_outcomes",
+    BASE + """SELECT run_id, video_id, 'human' AS method, CASE WHEN right(video_id, 1) IN ('0', '2', '4', '6', '8') THEN 'accepted' ELSE 'rejected' END AS decision,
+  CASE WHEN right(video_id, 1) IN ('0', '2', '4', '6', '8') THEN 'review_approved' ELSE 'review_rejected' END AS reason_code,
+  CASE WHEN right(video_id, 1) IN ('0', '2', '4', '6', '8') THEN 'artist-11' END AS artist_id FROM tried WHERE rule_reason = 'artist_alias_collision'""",
+)
+def reviewed_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """People approve every second of the titles whose alias collides."""
+    waiting = stages_of(spark, d).outcomes.where("rule_reason = 'artist_alias_collision'")
+    yes = F.substring("video_id", -1, 1).isin("0", "2", "4", "6", "8")
+    people = waiting.select("run_id", "video_id", yes.alias("approved"), F.when(yes, "artist-11").alias("artist_id"))
+    return replay.apply_review(waiting, people).select("run_id", "video_id", "method", "decision", "reason_code", "artist_id")
+
+
+@query(
+    "replayed_outcomes",
+    BASE + """SELECT run_id, video_id, CASE WHEN rule_reason = 'artist_alias_collision' THEN 'accepted' WHEN rule_reason = 'regex_autoaccepted' THEN 'accepted' WHEN rule_reason IN ('source_title_missing', 'candidate_outside_source_title') THEN 'rejected' ELSE 'review_required' END AS decision,
+  CASE WHEN rule_reason = 'artist_alias_collision' THEN 'artist-11' WHEN rule_reason = 'regex_autoaccepted' AND len(ids) = 1 THEN ids[1] END AS artist_id, rule_reason = 'artist_alias_collision' AS replayed FROM tried""",
+)
+def replayed_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The second round finds the reviews as facts."""
+    r = relations(spark, d)
+    first = N.resolve(r.videos, r.names, normalize=X.normalize_ascii).where("rule_reason = 'artist_alias_collision'")
+    facts = replay.apply_review(first, first.select("run_id", "video_id", F.lit(True).alias("approved"), F.lit("artist-11").alias("artist_id")))
+    return N.resolve(r.videos, r.names, facts=facts, normalize=X.normalize_ascii).select("run_id", "video_id", "decision", "artist_id", "replayed")
+
+
+@query(
+    "quota_alerts",
+    """WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, CASE WHEN event_type = 'view' THEN 100 ELSE 1 END AS units FROM events) SELECT h AS window_start, sum(units)::BIGINT AS units FROM c GROUP BY h HAVING sum(units) >= 150""",
+)
+def quota_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """The batch form of the streaming alert, on hours."""
+    from gaugeline.streaming.quota import alerts
+
+    e = A.relation(spark, d, "SELECT CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_type = 'view' THEN 100 ELSE 1 END AS units FROM {events}")
+    return alerts(e, window="1 hour", slide=None, at_least=150).select(F.col("window.start").alias("window_start"), "units")
