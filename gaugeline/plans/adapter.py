@@ -37,7 +37,7 @@ ARTISTS = "SELECT DISTINCT concat('artist-', substr(p_brand, 7)) AS artist_id, p
 NAMES = """
 SELECT DISTINCT concat('artist-', substr(p_brand, 7)) AS artist_id, p_brand AS name FROM {part}
 UNION SELECT DISTINCT concat('artist-', substr(p_brand, 7)), lower(p_brand) FROM {part}
-UNION SELECT DISTINCT 'artist-54', 'BRAND 55' FROM {part}
+UNION SELECT DISTINCT 'artist-4', 'BRAND 5' FROM {part}
 """
 
 CHANNELS = """
