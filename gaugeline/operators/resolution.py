@@ -42,12 +42,13 @@ def attempts(videos: DataFrame, index: DataFrame, normalize: Callable[[Column],
     )
 
 
-def resolve(videos: DataFrame, names: DataFrame, *, facts: DataFrame | None = None, pending: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize) -> DataFrame:
+def resolve(videos: DataFrame, names: DataFrame, *, facts: DataFrame | None = None, pending: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize, carry: list[str] | None = None) -> DataFrame:
     """One outcome for each video: blank title, then an earlier final fact, then a pending review, then the rules.
 
     facts: run_id, video_id, method, candidate, decision, final_name, reason_code, artist_id, of one resolver version.
     pending: run_id, video_id, proposed_name, method, resolver_version. Without a model what the rules leave open needs
-    review; the rules' own reason is kept in rule_reason."""
+    review; the rules' own reason is kept in rule_reason. Columns of videos named in ``carry`` come along, so what goes on
+    with a video's numbers needs no join back to the videos."""
     tried = attempts(videos, name_index(names, normalize), normalize)
     key = ["run_id", "video_id"]
     none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
@@ -80,12 +81,13 @@ def resolve(videos: DataFrame, names: DataFrame, *, facts: DataFrame | None = No
         F.when(blank | replayed, False).when(waits, True).otherwise(~accepted & ~outside).alias("needs_review"),
         (replayed & ~blank).alias("replayed"),
         "rule_reason",
+        *(carry or []),
     )
 
 
-def final_mappings(outcomes: DataFrame) -> DataFrame:
-    """P5: run_id, video_id and artist_id of what is accepted, needs no review and has an entity."""
-    return outcomes.where("decision = 'accepted' AND NOT needs_review AND artist_id IS NOT NULL").select("run_id", "video_id", "artist_id")
+def final_mappings(outcomes: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """P5: run_id, video_id and artist_id of what is accepted, needs no review and has an entity, and the carried columns."""
+    return outcomes.where("decision = 'accepted' AND NOT needs_review AND artist_id IS NOT NULL").select("run_id", "video_id", "artist_id", *(carry or []))
 
 
 def parse_reply(reply: Column) -> tuple[Column, Column]:

@@ -185,6 +185,13 @@ def channel_footprint(spark: SparkSession, d: str) -> DataFrame:
     return C.footprint(stages_of(spark, d, "year_id").mapped).select("run_id", "channel_id", "run_videos", F.array_join("artist_ids", ",").alias("artist_ids"))
 
 
+@query("mapped_videos", BASE + "SELECT run_id, video_id, artist_id, channel_id, views FROM mapped")
+def mapped_videos(spark: SparkSession, d: str) -> DataFrame:
+    """J1."""
+    r = relations(spark, d)
+    return C.mapped_videos(r.videos, N.final_mappings(stages_of(spark, d).outcomes)).select("run_id", "video_id", "artist_id", "channel_id", "views")
+
+
 @query("artist_projections", BASE + "SELECT run_id, artist_id, count(DISTINCT video_id) AS signals, count(DISTINCT channel_id) AS competition FROM measured GROUP BY ALL")
 def artist_projections(spark: SparkSession, d: str) -> DataFrame:
     return C.projections(stages_of(spark, d).eligible)

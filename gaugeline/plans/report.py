@@ -44,8 +44,9 @@ def check(relations: Relations) -> None:
 
 
 def stages(r: Relations, *, rule: FilterRule | None = None, rubric: Rubric | None = None, facts: DataFrame | None = None, pending: DataFrame | None = None, overrides: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize) -> Stages:
-    outcomes = N.resolve(r.videos, r.names, facts=facts, pending=pending, normalize=normalize)
-    mapped = C.mapped_videos(r.videos, N.final_mappings(outcomes))
+    numbers = ["channel_id", "views", "likes", "comments", "published_at"]
+    outcomes = N.resolve(r.videos, r.names, facts=facts, pending=pending, normalize=normalize, carry=numbers)
+    mapped = N.final_mappings(outcomes, numbers)
     verdicts = C.verdicts(mapped, r.channels, r.names, rule=rule, overrides=overrides, normalize=normalize)
     eligible = C.eligible_videos(mapped, verdicts)
     videos = S.measured(eligible, r.runs, rubric)
