@@ -194,8 +194,9 @@ def links(fps: DataFrame, *, most: int = 2, group_rows: int = 4096, levels: int
             break
         leaves.append(rows.join(large, ["mask", "key"], "left_anti").select("mask", "key", "fp"))
         below = F.create_map(*(x for m in masks for x in (F.lit(signed(m)), F.array(*(F.lit(signed(c)) for c in thirds(m, most + 1))))))
-        rows = rows.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(below[F.col("mask")]).alias("mask"))
-        masks = [c for m in masks for c in thirds(m, most + 1)]
+        # Two masks can have a part of their free bits in common below, hence distinct().
+        rows = rows.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(below[F.col("mask")]).alias("mask")).distinct()
+        masks = sorted({c for m in masks for c in thirds(m, most + 1)})
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)

@@ -95,7 +95,7 @@ def test_rules_are_learned_and_hold_on_other_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1) for i in range(300)] + [(None, 0), (5, None), (6, 0)], "doc_id long, quality int")
     rules = quality_rules.fit_rules(docs, labels)
-    assert rules and "symbols_per_word" in rules[0].sql()
+    assert rules and rules[0].tests[0][0] == "symbols_per_word"
     held = [x for x in quality_rules.judge(docs, rules).collect() if x.doc_id >= 300]
     assert all(x.kept == (x.doc_id % 4 != 0) for x in held)
     assert sorted(x.doc_id for x in quality_rules.keep_good(docs, rules).collect()) == [i for i in range(600) if i % 4]
