@@ -180,7 +180,7 @@ class Automaton:
                 matched = self.length[state]
             if word in self.next[state]:
                 state, matched = self.next[state][word], matched + 1
-            while self.length[self.link[state]] >= window if state else False:
+            while state and self.length[self.link[state]] >= window:
                 state = self.link[state]
                 matched = self.length[state]
             if n >= window:
@@ -253,8 +253,8 @@ def text_hash(text: str | None) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def removed_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, bytes]:
-    """place, text_hash and starts (of removed windows: first and number) of each text that loses words, and the bitmap of shared anchors."""
+def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """place, text_hash and starts (of removed windows: first and number) of each text that loses words."""
     known = written(anchors(docs, window), "anchors")
     counts = known.agg(F.count("*").alias("all"), F.count(F.when(F.col("content").isNull(), 1)).alias("mixed"), F.count(F.when(F.col("content").isNull() & (F.col("n") > HOT), 1)).alias("hot")).first()
     shared = bitmap(known, counts["all"])
@@ -269,25 +269,22 @@ def removed_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, b
     every = F.when(F.col("firsts").isNull(), F.array(F.struct(F.col("first").alias("at"), F.col("windows").alias("n")))).otherwise(
         F.filter(F.transform("firsts", lambda d, i: F.when(d < F.col("place"), F.struct((F.col("first") + i).cast("int").alias("at"), F.lit(1).alias("n")))), lambda s: s.isNotNull())
     )
-    per_text = lost.withColumn("starts", every).groupBy("place", "text_hash").agg(F.flatten(F.collect_set("starts")).alias("starts"))
-    return per_text, shared
+    return lost.withColumn("starts", every).groupBy("place", "text_hash").agg(F.flatten(F.collect_set("starts")).alias("starts"))
 
 
 def dedup(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the words that are left, joined by spaces, of each document."""
-    spans, shared = removed_windows(docs, window)
-    seen = docs.sparkSession.sparkContext.broadcast(shared)
+    spans = written(removed_windows(docs, window), "spans")
+    losing = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(F.col("text_hash").alias("key")), spans.count()))
 
     def probe(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        # Texts without a shared anchor lose nothing: their digest is taken here, and they don't travel.
+        # Texts that lose nothing get their digest here and don't travel; a few others do by chance.
         for ids, places, texts in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, place, text in zip(ids, places, texts, strict=True):
-                words = words_of(text)
-                whole = len(words) < window or not held(seen.value, Pieces(words, window).key).any()
-                for column, value in zip(out, (doc_id, place, None if whole else text_hash(text), len(words), hashlib.sha256(b" ".join(words)).hexdigest() if whole else None, None if whole else text), strict=True):
-                    column.append(value)
-            yield out
+            hashes = list(map(text_hash, texts))
+            travels = held(losing.value, np.array(hashes, np.int64)).tolist()
+            words = list(map(words_of, texts))
+            digests = [None if t else hashlib.sha256(b" ".join(w)).hexdigest() for t, w in zip(travels, words, strict=True)]
+            yield [ids, places, [h if t else None for h, t in zip(hashes, travels, strict=True)], list(map(len, words)), digests, [x if t else None for x, t in zip(texts, travels, strict=True)]]
 
     probed = map_columns(ordered(docs), probe, "doc_id long, place long, text_hash long, n_words long, kept_sha256 string, text string")
     joined = probed.join(spans, ["place", "text_hash"], "left").select("doc_id", "n_words", "kept_sha256", "text", F.transform("starts", lambda s: s["at"]).alias("at"), F.transform("starts", lambda s: s["n"]).alias("n"))
