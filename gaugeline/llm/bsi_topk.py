@@ -16,7 +16,6 @@ a query's own rows are all with its id. Components beyond 2^18 raise an error, s
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
