@@ -34,14 +34,15 @@ PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
 LATIN = re.compile("[\0-\u024f]*")
 LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
-AT_ONCE = 200_000  # pre-tokens
+AT_ONCE = 100_000  # pre-tokens
+ROWS = 500  # texts of a batch that are held as ids at once
 NONE = 1 << 62
 
 
 class Codec(dict):
     """Encodes and decodes; as a dict, the cache of ids by pre-token."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 200_000):
         super().__init__()
         self.room = room
         with open(path, encoding="utf-8") as f:
@@ -213,7 +214,7 @@ def round_trip(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path(vocabulary))
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids = own.encode_all(batch.column(1).to_pylist())
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             values = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))

@@ -207,7 +207,8 @@ def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
     @arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
     def counts(texts: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(COUNTS, text_counts(t), strict=True)) for t in texts.to_pylist()], type=kind)
+        parts = (texts.slice(k, 500).to_pylist() for k in range(0, len(texts), 500))  # few texts are held as Python strings at once
+        return pa.array([dict(zip(COUNTS, text_counts(t), strict=True)) for part in parts for t in part], type=kind)
 
     names = docs.columns
     inner = docs.select(F.struct(*(docs[c] for c in names)).alias("__row"), counts(docs["text"]).alias("__n")).select("__row", *(F.col("__n")[c].alias(c) for c in COUNTS))
