@@ -37,8 +37,10 @@ def self_channels(mapped: DataFrame, channels: DataFrame, names: DataFrame, norm
 def verdicts(mapped: DataFrame, channels: DataFrame, names: DataFrame, *, rule: FilterRule | None = None, overrides: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize) -> DataFrame:
     """Override, then self channel, then domination of the run, else eligible. overrides: channel_id, is_eligible."""
     rule = rule or FilterRule()
-    own = self_channels(mapped, channels, names, normalize).withColumn("__self", F.lit(True))
-    seen = footprint(mapped).join(own, ["run_id", "channel_id"], "left")
+    # Self channels are found among footprints, a row a channel: the entities that a title names meet those linked to it.
+    titles = channels.select("channel_id", normalize(F.col("title")).alias("__title"))
+    owners = names.select("artist_id", normalize(F.col("name")).alias("__title")).where("__title <> ''").groupBy("__title").agg(F.collect_set("artist_id").alias("__owners"))
+    seen = footprint(mapped).join(titles, "channel_id", "left").join(owners, "__title", "left").withColumn("__self", F.coalesce(F.arrays_overlap("artist_ids", "__owners"), F.lit(False)))
     if overrides is not None:
         seen = seen.join(overrides.select("channel_id", F.col("is_eligible").alias("__override")), "channel_id", "left")
     else:

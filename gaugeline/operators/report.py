@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scoring as S
-from gaugeline.operators.scoring import ranked
+from gaugeline.operators.scoring import publications, ranked
 from gaugeline.plans.config import PIPELINE_VERSION, RESOLVER_VERSION, FilterRule, ReportRules, Rubric
 
 
@@ -21,13 +21,7 @@ def shown(scores: DataFrame, rules: ReportRules | None = None) -> DataFrame:
 
 def publication_counts(videos: DataFrame, rules: ReportRules | None = None) -> DataFrame:
     """Videos of each artist in the last days and in as many before; the windows share no instant."""
-    rules = rules or ReportRules()
-    days = lambda n: F.expr(f"window_end - INTERVAL {n} DAYS")
-    recent, prior = days(rules.growth_days), days(2 * rules.growth_days)
-    published = F.col("published_at")
-    return videos.groupBy("run_id", "artist_id").agg(
-        F.count_if((published > recent) & (published <= F.col("window_end"))).alias("recent_7d"), F.count_if((published > prior) & (published <= recent)).alias("prior_7d")
-    )
+    return videos.groupBy("run_id", "artist_id").agg(*publications(rules))
 
 
 def examples(videos: DataFrame) -> DataFrame:
@@ -46,12 +40,12 @@ def examples(videos: DataFrame) -> DataFrame:
 
 
 def report(scores: DataFrame, videos: DataFrame, artists: DataFrame, rules: ReportRules | None = None) -> DataFrame:
-    """The report's rows; the shown artists, a few a run, meet the videos' aggregates."""
+    """The report's rows: the shown artists, a few a run, with the example of each."""
     rules = rules or ReportRules()
     top = shown(scores, rules)
     of_shown = videos.join(top.select("run_id", "artist_id"), ["run_id", "artist_id"], "left_semi")
     key = ["run_id", "artist_id"]
-    joined = top.join(publication_counts(of_shown, rules), key).join(examples(of_shown), key).join(artists.select("artist_id", "canonical_name"), "artist_id")
+    joined = top.join(examples(of_shown), key).join(artists.select("artist_id", "canonical_name"), "artist_id")
     return joined.select(
         "run_id", "rank", "artist_id",
         F.concat("canonical_name", F.lit(" Type Beat")).alias("title"),

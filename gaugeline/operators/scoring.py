@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scoring as S
-from gaugeline.plans.config import Rubric
+from gaugeline.plans.config import ReportRules, Rubric
 
 
 def measured(eligible: DataFrame, runs: DataFrame, rubric: Rubric | None = None) -> DataFrame:
@@ -16,24 +16,35 @@ def measured(eligible: DataFrame, runs: DataFrame, rubric: Rubric | None = None)
     return aged.withColumn("vel", S.velocity(F.col("views"), F.col("age"))).withColumn("eng", S.engagement_rate(F.col("likes"), F.col("comments"), F.col("views"))).withColumn("weight", S.recency_weight(F.col("age"), rubric))
 
 
-def artist_metrics(videos: DataFrame) -> DataFrame:
-    """Signals, competition, velocity_median and engagement of each artist."""
+def publications(rules: ReportRules | None = None) -> list[Column]:
+    """Videos in the last days and in as many before; the windows share no instant."""
+    rules = rules or ReportRules()
+    start = lambda n: F.expr(f"window_end - INTERVAL {n} DAYS")
+    recent, prior = start(rules.growth_days), start(2 * rules.growth_days)
+    at = F.col("published_at")
+    return [F.count_if((at > recent) & (at <= F.col("window_end"))).alias("recent_7d"), F.count_if((at > prior) & (at <= recent)).alias("prior_7d")]
+
+
+def artist_metrics(videos: DataFrame, rules: ReportRules | None = None) -> DataFrame:
+    """Signals, competition, velocity_median, engagement and publication counts of each artist, in one aggregate."""
     rated = F.col("eng").isNotNull()
     return videos.groupBy("run_id", "artist_id").agg(
         F.countDistinct("video_id").alias("signals"),
         F.countDistinct("channel_id").alias("competition"),
         F.median("vel").alias("velocity_median"),
         F.try_divide(F.sum(F.when(rated, F.col("weight") * F.col("eng"))), F.sum(F.when(rated, F.col("weight")))).alias("engagement"),
+        *publications(rules),
     )
 
 
 def scored(metrics: DataFrame, rubric: Rubric | None = None) -> DataFrame:
     """Anchors over the run's artists, components, raw and final score.
 
-    The anchors are one small row a run, joined back; an exact percentile, never an approximate one."""
+    The anchors are exact percentiles over a run's few artists, taken in a window, so the artists are worked out once."""
     rubric = rubric or Rubric()
-    anchors = metrics.groupBy("run_id").agg(F.percentile("velocity_median", float(rubric.velocity_percentile)).alias("v_ref"), F.percentile("engagement", float(rubric.engagement_percentile)).alias("e_ref"))
-    with_parts = metrics.join(anchors, "run_id").select(
+    run = Window.partitionBy("run_id")
+    anchored = metrics.withColumn("v_ref", F.percentile("velocity_median", float(rubric.velocity_percentile)).over(run)).withColumn("e_ref", F.percentile("engagement", float(rubric.engagement_percentile)).over(run))
+    with_parts = anchored.select(
         "*",
         S.anchored(F.col("velocity_median"), F.col("v_ref")).alias("norm_velocity"),
         S.anchored(F.col("engagement"), F.col("e_ref")).alias("norm_engagement"),

@@ -43,17 +43,17 @@ def check(relations: Relations) -> None:
     assert_empty(duplicates(relations.channels, ["channel_id"]), "one row a channel")
 
 
-def stages(r: Relations, *, rule: FilterRule | None = None, rubric: Rubric | None = None, facts: DataFrame | None = None, pending: DataFrame | None = None, overrides: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize) -> Stages:
+def stages(r: Relations, *, rule: FilterRule | None = None, rubric: Rubric | None = None, rules: ReportRules | None = None, facts: DataFrame | None = None, pending: DataFrame | None = None, overrides: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize) -> Stages:
     numbers = ["channel_id", "views", "likes", "comments", "published_at"]
     outcomes = N.resolve(r.videos, r.names, facts=facts, pending=pending, normalize=normalize, carry=numbers)
     mapped = N.final_mappings(outcomes, numbers)
     verdicts = C.verdicts(mapped, r.channels, r.names, rule=rule, overrides=overrides, normalize=normalize)
     eligible = C.eligible_videos(mapped, verdicts)
     videos = S.measured(eligible, r.runs, rubric)
-    return Stages(outcomes, mapped, verdicts, eligible, videos, S.scored(S.artist_metrics(videos), rubric))
+    return Stages(outcomes, mapped, verdicts, eligible, videos, S.scored(S.artist_metrics(videos, rules), rubric))
 
 
 def report(r: Relations, *, rules: ReportRules | None = None, **options) -> DataFrame:  # noqa: ANN003
     """Each run's report rows."""
-    s = stages(r, **options)
+    s = stages(r, rules=rules, **options)
     return R.report(s.scores, s.measured, r.artists, rules)
