@@ -69,7 +69,7 @@ def page_items(pages: DataFrame) -> DataFrame:
 def first_unique(items: DataFrame, most: int = TARGET_VIDEOS) -> DataFrame:
     """Ids by their first place, up to ``most`` a run; the first place is a plain aggregate, the cap a ranked window."""
     first = items.where("video_id IS NOT NULL").groupBy("run_id", "video_id").agg(F.min(F.struct("page", "item")).alias("at"))
-    order = Window.partitionBy("run_id").orderBy("at")
+    order = Window.partitionBy("run_id").orderBy("at", "video_id")
     return first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most).select("run_id", "video_id", "position")
 
 
