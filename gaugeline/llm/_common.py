@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+ROWS = 500  # rows of a batch that are held as Python objects at once
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[lis
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn([c.to_pylist() for c in b.columns] for b in batches if b.num_rows):
+        for columns in fn([c.to_pylist() for c in b.slice(k, ROWS).columns] for b in batches for k in range(0, b.num_rows, ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return df.mapInArrow(run, schema)
