@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, mixing, pii, quality_rules, simhash
+from gaugeline.llm import bpe_codec, jaccard, mixing, pii, quality_rules
 from gaugeline.llm._common import read_table, shared_dir
 
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """Keeps the document of the smallest id of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    return jaccard.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoding", encode),
 ]
 
-#: The learned rules, the fingerprints and the token ids can't be written in SQL; tests hold run() against brute force.
+#: The learned rules, the shingle hashes and the token ids can't be written in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,181 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: all pairs of 0.8 or more, none below.
+
+Fingerprints can't bound what they miss at 0.8, so pairs are found by prefix filtering, which loses none:
+1. texts of equal shingle sets are one set; only the first document of each stands for it further on;
+2. shingles have one order over all sets, those not known as frequent first. Two sets of n shingles or more
+   that are similar enough share one of the first n - ceil(0.8 n) + 1 of either. Which shingles are
+   frequent is read from a sample; any order gives the same pairs, a good one gives fewer candidates;
+3. such first shingles of two sets or more are known by a bitmap, and sets meet by them. Sizes and 256
+   parities of the shingles, whose differences can't exceed those of the sets, leave out most candidates;
+4. the others are decided by the whole sets. Neighbours by size are decided first, then, of the pairs
+   that meet, those not joined yet, so many copies of one text don't cost their square.
+
+Defined results: case is that of ASCII; a text of fewer words than a shingle is one shingle; texts without
+words are alike. Sets are compared by 64-bit hashes. Near-duplicates are linked in chains.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gaugeline.llm._common import map_columns, written
+from gaugeline.llm.simhash import SEED, connected, signed
+from gaugeline.llm.substring_dedup import _mixed, bitmap, held
+
+SHINGLE = 5
+SAMPLE, OFTEN, MOST_FREQUENT = 4000, 3, 100_000  # sampled documents, occurrences in them, and frequent shingles at most
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    size = min(shingle, len(words))
+    out = np.full(len(words) - size + 1 if words else 0, size, np.uint64)
+    for k in range(size):
+        out = _mixed(out + each[k : k + len(out)])
+    return np.unique(out)
+
+
+def digest(own: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+
+
+def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles, of which a set of Jaccard 0.8 or more has one among its own first ones."""
+    n = len(own)
+    place = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        place = np.where(frequent[at] == own, rank[at], 0)
+    return own[np.argsort(place, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+
+
+def parities(own: np.ndarray) -> bytes:
+    """256 bits: whether the number of shingles that fall on each is odd."""
+    return np.packbits(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1).tobytes()
+
+
+def candidates(key: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, gaps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs up to ``gaps`` apart of one key and different labels that may be similar; rows by key and n."""
+    at, left, right = np.arange(len(key)), [], []
+    for gap in range(1, min(gaps, len(key) - 1) + 1):
+        at = at[at + gap < len(key)]
+        at = at[(key[at] == key[at + gap]) & (4 * n[at + gap] <= 5 * n[at])]  # n grows, so what is out stays out
+        if not len(at):
+            break
+        both = n[at] + n[at + gap]
+        near = at[(np.bitwise_count(bits[at] ^ bits[at + gap]).sum(1, dtype=np.int64) <= both - 2 * -(-4 * both // 9)) & (label[at] != label[at + gap])]
+        left.append(near)
+        right.append(near + gap)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+
+
+def meetings(rows: DataFrame, gaps: int) -> DataFrame:
+    """Distinct pairs (a, b) of sets to decide. Rows are (key, n, digest, bits, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []  # rows of keys that may go on
+
+        def out(last: bool) -> pa.RecordBatch:
+            key, n, sets, bits, label = (np.concatenate(x) for x in zip(*kept, strict=True))
+            end = len(key) if last else int(np.searchsorted(key, key[-1]))
+            a, b = candidates(key[:end], n[:end], bits[:end], label[:end], gaps)
+            kept[:] = [(key[end:], n[end:], sets[end:], bits[end:], label[end:])]
+            a, b = np.minimum(sets[a], sets[b]), np.maximum(sets[a], sets[b])
+            pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                key, n, sets, bits, label = batch.columns
+                wide = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, 4)
+                kept.append((key.to_numpy(), n.to_numpy(), sets.to_numpy(), wide, label.to_numpy()))
+                if kept[0][0][0] != kept[-1][0][-1]:
+                    yield out(False)
+        if kept:
+            yield out(True)
+
+    return rows.select("key", "n", "digest", "bits", "label").repartition("key").sortWithinPartitions("key", "n", "digest").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(keyed: DataFrame, firsts: DataFrame, *, shingle: int = SHINGLE, sample: int = SAMPLE, often: int = OFTEN) -> DataFrame:
+    """Links (a, b) that join all sets of Jaccard 0.8 or more. keyed has __row and text, firsts has first.__row and digest."""
+    share = keyed.sparkSession.sparkContext.broadcast
+    n = firsts.count()
+    first = share(bitmap(firsts.select(F.col("first.__row").alias("key")), n))
+
+    def each(fn: Callable[[int, np.ndarray], list | None], schema: str, docs: DataFrame = keyed) -> DataFrame:
+        """The columns that fn gives for each set, joined; a set is seen once a task."""
+
+        def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+            seen: set[int] = set()
+            for rows, texts in batches:
+                got = []
+                for text, stands in zip(texts, held(first.value, np.array(rows, np.int64)).tolist(), strict=True):
+                    if stands and len(own := shingles(text, shingle)) and (d := digest(own)) not in seen:
+                        seen.add(d)
+                        if (columns := fn(d, own)) is not None:
+                            got.append(columns)
+                if got:
+                    yield [[x for part in column for x in part] for column in zip(*got, strict=True)]
+
+        return map_columns(docs.select("__row", "text"), run, schema)
+
+    few = keyed.where(F.pmod("__row", F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
+    counts = each(lambda d, own: [own.view(np.int64).tolist()], "key long", few).groupBy("key").count().where(F.col("count") >= often)
+    common = counts.orderBy(F.col("count").desc(), "key").limit(MOST_FREQUENT).collect()
+    keys, ranks = np.array([r["key"] for r in common], np.int64).view(np.uint64), np.arange(len(common), 0, -1)
+    by_key = np.argsort(keys)
+    order = share((keys[by_key], ranks[by_key]))
+
+    met = each(lambda d, own: [prefix(own, *order.value).view(np.int64).tolist()], "key long")
+    shared_keys = written(met.groupBy("key").count().where("count > 1").select("key"), "shared")
+    shared = share(bitmap(shared_keys, shared_keys.count()))
+
+    def meeting(d: int, own: np.ndarray) -> list | None:
+        at = prefix(own, *order.value).view(np.int64)
+        at = at[held(shared.value, at)].tolist()
+        return [at, [len(own)] * len(at), [d] * len(at), [parities(own)] * len(at)] if at else None
+
+    rows = written(each(meeting, "key long, n long, digest long, bits binary"), "meetings")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = share(bitmap(ends, ends.count()))
+        sets = each(lambda d, own: [[d], [own.view(np.int64)]] if held(wanted.value, np.array([d], np.int64))[0] else None, "digest long, own array<long>")
+        sets = written(sets.groupBy("digest").agg(F.any_value("own").alias("own")).join(ends.withColumnRenamed("key", "digest"), "digest", "left_semi"), "sets")
+        a, b = sets.select(F.col("digest").alias("a"), F.col("own").alias("x")), sets.select(F.col("digest").alias("b"), F.col("own").alias("y"))
+        return pairs.join(a, "a").join(b, "b").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+    near = written(decided(meetings(rows.withColumn("label", F.col("digest")), 1)), "near")
+    labels = connected(near)
+    labelled = rows.join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("root", "digest"))
+    return near.union(decided(meetings(labelled, 1 << 40)))
+
+
+def keep_first(docs: DataFrame, *, shingle: int = SHINGLE, sample: int = SAMPLE, often: int = OFTEN) -> DataFrame:
+    """One whole row of each group of near-duplicates, that of its smallest doc_id; of rows that are alike in all columns one."""
+    names = docs.columns
+    keyed = docs.withColumn("__row", F.xxhash64(*(F.col(c) for c in names)))
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for ids, rows, texts in batches:
+            yield [ids, rows, [digest(shingles(t, shingle)) for t in texts]]
+
+    own = map_columns(keyed.select(F.col("doc_id").cast("long"), "__row", "text"), run, "doc_id long, __row long, digest long")
+    distinct = written(own.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")), "distinct")
+    roots = connected(similar(keyed, distinct, shingle=shingle, sample=sample, often=often))
+    firsts = distinct.join(roots, F.col("digest") == F.col("node"), "left").groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("first").alias("first"))
+    chosen = firsts.select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__first"))
+    kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__row"]).select(*names)
