@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeline.llm._common import WORD
+from gaugeline.llm._common import WORD, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # 150 % of all sizes
@@ -77,9 +77,9 @@ def demand_inverse(share: Column, schedule: tuple[tuple[float, float], ...]) ->
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """docs with size, source_size, target, taken and two columns for ``mixed``: __start, the words of the source
-    before the document, and __turn. The words before the target's end are taken, so all but one document of a
-    source are taken whole in each pass; __passes counts those of which at least half is taken."""
+    """docs with size, source_size, target, __turn, __start, the words of the source before the document, and
+    __passes. The words before the target's end are taken, so all but one document of a source are taken
+    whole in each pass; __passes, for ``mixed``, counts those of which at least half is taken."""
     sized = docs.withColumn("size", word_count(F.col("text")))
     sized = sized.withColumn("__hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("__range", F.substring("__hash", 1, RANGE_DIGITS))
     ranges = sized.groupBy("source", "__range").agg(F.sum("size").alias("__in"))
@@ -95,16 +95,29 @@ def placed(docs: DataFrame) -> DataFrame:
     out = summed.join(known, summed["source"].eqNullSafe(known["__source"]) & (F.col("__range") == F.col("__known"))).withColumn("__start", start)
     end = F.floor(F.col("target") + 0.5)
     offsets = [p * F.col("source_size") + F.col("__start") for p in range(MOST)]
-    taken = sum(F.least(F.greatest(end - o, F.lit(0)), F.col("size")) for o in offsets)
-    passes = sum((o * 2 + F.col("size") <= 2 * end).cast("int") for o in offsets)
-    return out.withColumn("taken", taken.cast("long")).withColumn("__passes", F.when(F.col("size") > 0, passes).otherwise(0))
+    halves = sum((o * 2 + F.col("size") <= 2 * end).cast("int") for o in offsets)
+    return out.withColumn("__passes", F.when(F.col("size") > 0, halves).otherwise(0))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words that the mix takes, repeats counted) of each
-    document, and first_position: when in training, from 0 to 1, it first comes; null if it isn't taken."""
+def passes(docs: DataFrame) -> DataFrame:
+    """The mix in passes, range-sorted by training position and written: doc_id, source, size, source_size, target,
+    __start, __pass, __words (that the pass takes, all but the last of a source whole) and __position. What isn't
+    taken has one pass without words or position; __none tells rows without words apart."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.col("text"))
-    return placed(own).select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, position(F.lit(0))).alias("first_position"))
+    end = F.floor(F.col("target") + 0.5)
+    words = F.array(*(F.least(F.greatest(end - p * F.col("source_size") - F.col("__start"), F.lit(0)), F.col("size")).cast("long") for p in range(MOST)))
+    known = ("doc_id", "source", "size", "source_size", "target", "__start")
+    dealt = placed(own).select(*known, "__turn", F.posexplode(words).alias("__pass", "__words")).where("__pass = 0 OR __words > 0")
+    timed = dealt.withColumn("__position", F.when(F.col("__words") > 0, position(F.col("__pass")))).orderBy("__position", "doc_id", "__pass")
+    return written(timed.select(*known, "__pass", "__words", "__position", F.when(F.col("size") == 0, F.monotonically_increasing_id()).alias("__none")), "mix")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words that the passes of the mix take) of each document,
+    positions: when in training, from 0 to 1, its passes come; and first_position, null if it isn't taken."""
+    known = ("doc_id", "source", "size", "source_size", "target")
+    of_each = passes(docs).groupBy(*known, "__start", "__none").agg(F.sum("__words").alias("taken"), F.min("__position").alias("first_position"), F.array_sort(F.collect_list("__position")).alias("positions"))
+    return of_each.select(*known, "taken", "first_position", "positions")
 
 
 def position(taken_before: Column) -> Column:
@@ -121,8 +134,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: docs' whole rows, one for each pass that takes at least half of it, range-sorted by training position."""
     names = docs.columns
     own = docs.select(F.struct(*(F.col(c) for c in names)).alias("__whole"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    passes = placed(own).select("__whole", "source_size", "size", "target", "__start", "__turn", F.explode(F.when(F.col("__passes") > 0, F.sequence(F.lit(0), F.col("__passes") - 1))).alias("__pass"))
-    timed = passes.withColumn("__position", position(F.col("__pass")))
+    dealt = placed(own).select("__whole", "source_size", "size", "target", "__start", "__turn", F.explode(F.when(F.col("__passes") > 0, F.sequence(F.lit(0), F.col("__passes") - 1))).alias("__pass"))
+    timed = dealt.withColumn("__position", position(F.col("__pass")))
     return timed.orderBy("__position", "__whole.doc_id", "__pass").select("__whole.*")
 
 
