@@ -126,14 +126,17 @@ class Window:
 
     def header(self, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
         """The fields of the record at ``at``, and where its block and the next record begin; None if there is none."""
+        self.need(at + len(MAGIC))
+        if not self.held.startswith(MAGIC, at - self.start):
+            return None
         reach = 4096
         while True:
             self.need(at + reach)
             stop = self.held.find(BLANK, at - self.start, at - self.start + reach)
-            if stop >= 0 or at + reach >= self.size or reach >= 1 << 20:
+            if stop >= 0 or at + reach >= self.size:
                 break
             reach *= 4
-        if stop < 0 or not self.held.startswith(MAGIC, at - self.start):
+        if stop < 0:
             return None
         lines = self.held[at - self.start + len(MAGIC) : stop].split(b"\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}
