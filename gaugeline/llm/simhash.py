@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm._common import map_columns, written
+from gaugeline.llm._common import map_columns, row_key, written
 
 SEED = 42
 ALL = (1 << 64) - 1
@@ -128,7 +128,7 @@ def united(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def stars(fps: np.ndarray, groups: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (from, to) that join what is linked within each run of equal ``groups``; fps in Gray order in each."""
+    """Places (from, to) that join what is linked within each run of equal ``groups``; fps in Gray order in each."""
     labels = np.arange(len(fps))
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(fps)])
@@ -144,7 +144,7 @@ def stars(fps: np.ndarray, groups: np.ndarray, most: int) -> tuple[np.ndarray, n
             q, found = index.near(own[at : at + 256], most)
             labels = united(labels, q + at + start, found + start)
     moved = np.flatnonzero(labels != np.arange(len(fps)))
-    return fps[moved], fps[labels[moved]]
+    return moved, labels[moved]
 
 
 def _links(sorted_rows: DataFrame, most: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _links(sorted_rows: DataFrame, most: int) -> DataFrame:
             if not end:
                 return None
             a, b = stars(fp[:end].view(np.uint64), np.cumsum(change[:end]), most)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -232,7 +232,7 @@ def components(docs: DataFrame, *, most: int = 2, shingle: int = 3) -> DataFrame
 def keep_first(docs: DataFrame, *, most: int = 2, shingle: int = 3) -> DataFrame:
     """One whole row of each component, that of its smallest doc_id; of rows that are alike in all columns one."""
     names = docs.columns
-    keyed = docs.withColumn("__row", F.xxhash64(*(F.col(c) for c in names)))
+    keyed = docs.withColumn("__row", row_key(docs))
     own = written(keyed_fingerprints(keyed, shingle=shingle), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")), "distinct")
     roots = connected(links(distinct, most=most))

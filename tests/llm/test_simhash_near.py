@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as p
-from gaugeline.llm import jaccard
+from gaugeline.llm import simhash_near
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,12 +56,14 @@ def near_rows():
     return [(i, t, "en", "s", len(t)) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("often", [2, 1000])
-def test_keeps_the_first_of_all_that_is_similar(spark, often):
+@pytest.mark.parametrize(("bin_size", "large"), [(4096, 4096), (8, 5), (3, 4096)])
+def test_keeps_the_first_of_all_that_is_similar(spark, monkeypatch, bin_size, large):
+    """Whether bins and groups of bands are dealt out in parts or not."""
+    monkeypatch.setattr(simhash_near, "LARGE", large)
     rows = near_rows()
     pairs, want = brute_first([x[:2] for x in rows])
     assert pairs > 30 and len(want) < len(rows) - 30
-    got = jaccard.keep_first(spark.createDataFrame(rows, DOCS).repartition(3), often=often)
+    got = simhash_near.keep_first(spark.createDataFrame(rows, DOCS).repartition(3), bin_size=bin_size)
     assert sorted(x.doc_id for x in got.collect()) == want
 
 
