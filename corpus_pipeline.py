@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, jaccard, mixing, pii, quality_rules
+from gaugeline.llm import bpe_codec, mixing, pii, quality_rules, simhash_near
 from gaugeline.llm._common import read_table, shared_dir
 
 
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
-    return jaccard.keep_first(docs)
+    return simhash_near.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
