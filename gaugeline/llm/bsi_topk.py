@@ -10,12 +10,17 @@ scores worked out from the stored numbers. The result is exact.
 Defined results: vectors that are null or hold a null or a component that isn't finite take no part, as
 queries or as candidates. Vectors meet those of their own length only. Equal scores go to the smaller id;
 a row without an id takes no part. Of rows with one id each is a candidate; one, with the least vector, asks;
-a query's own rows are all with its id. Components beyond 2^18 raise an error, since scores could leave the whole numbers of 64 bits.
+a query's own rows are all with its id. Components of any finite size take part: blocks and queries whose sums
+could leave 64 bits are worked out in Python's whole numbers, and only a returned score beyond 64 bits raises.
 """
 
 from __future__ import annotations
 
+import copy
+import math
 from collections import defaultdict
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -89,15 +94,25 @@ class SlicedBlock:
     def __init__(self, ids: np.ndarray, values: np.ndarray, left_out: int = LEFT_OUT):
         self.ids, self.values, self.left_out = ids, values, left_out
         rows = len(ids)
-        self.low = int(values.min(initial=0))
+        self.other: SlicedBlock | None = None
+        self.low, self.high = int(values.min(initial=0)), int(values.max(initial=0))
         coarse = (values - self.low) >> left_out
         self.bits = int(coarse.max(initial=0)).bit_length()
-        padded = np.zeros((-(-rows // 64) * 64, values.shape[1]), np.int64)
+        padded = np.zeros((-(-rows // 64) * 64, values.shape[1]), values.dtype)
         padded[:rows] = coarse
         pack = lambda bits: np.packbits(bits, bitorder="little").view(np.uint64)
         self.every = pack(np.arange(len(padded)) < rows)
         self.slices = [[pack((padded[:, d] >> b & 1).astype(np.uint8)) for b in range(self.bits)] for d in range(values.shape[1])]
 
+    def wide(self) -> SlicedBlock:
+        """The same block, whose scores are Python's whole numbers."""
+        if self.values.dtype == object:
+            return self
+        if self.other is None:
+            self.other = copy.copy(self)
+            self.other.values = self.values.astype(object)
+        return self.other
+
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best rows other than those with id ``own``.
 
@@ -120,47 +135,71 @@ class SlicedBlock:
             ids, scores = self.ids, self.values @ query
             other = ids != own
         ids, scores = ids[other], scores[other]
-        order = np.lexsort((ids, -scores))[:k]
+        order = np.lexsort((ids, -scores))[:k] if scores.dtype == np.int64 else sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
         return ids[order], scores[order]
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and q, the components as whole numbers, of the rows that take part."""
-    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    finite = usable.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-    whole = lambda x: F.when(F.abs(x) <= 2.0**18, F.floor(x * scale).cast("int")).otherwise(F.raise_error(F.lit("a component is beyond 2^18")).cast("int"))
-    return finite.select("vec_id", F.transform("v", whole).alias("q"))
+def whole(values: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """floor(scale x), as 64-bit numbers where no inner product of theirs can leave 63 bits, else as Python's."""
+    wide = values.astype(np.float64)
+    most = scale * (np.abs(wide).max(initial=0) + 1)
+    if most * most * max(1, wide.shape[-1]) < 2.0**62:
+        return np.floor(scale * wide).astype(np.int64)
+    exact = np.empty(wide.shape, object)
+    exact.flat = [math.floor(x * Fraction(scale)) for x in map(Fraction, wide.ravel().tolist())]
+    return exact
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, v and size of the rows that take part."""
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
+    infinite = F.lit(float("inf"))
+    return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != infinite))).withColumn("size", F.size("v"))
 
 
-def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, block_rows: int = 32_768, query_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, block_rows: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by ``every`` its k best among all others.
 
-    Rows are dealt by hash to blocks of about ``block_rows`` and queries to blocks of about ``query_rows``; each pair of
-    blocks is one group, with k rows a query to merge. Two aggregates of numbers of rows fix how many blocks there are."""
-    rows = quantised(vectors).withColumn("size", F.size("q"))
-    n = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("m")).first()
-    blocks, parts = max(1, -(-n["n"] // block_rows)), max(1, -(-n["m"] // query_rows))
+    Rows are dealt by hash to blocks of about ``block_rows``, each once. Every block gets all queries, which stream through
+    the one index that its task builds, so rows + queries x blocks are shuffled and no task holds more than a block."""
+    rows = usable(vectors)
+    blocks = max(1, -(-rows.count() // block_rows))
     # Each row is dealt for itself, by its place in the scan, so that equal rows don't meet in one block.
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    data = dealt.select("size", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("asks"), "vec_id", "q")
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("size", "q")).alias("a")).select("vec_id", "a.*")
-    queries = asked.select("size", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("asks"), "vec_id", "q")
-
-    def search(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
-        ids = table["vec_id"].to_numpy()
-        width = table["size"][0].as_py()
-        values = np.concatenate([c.flatten().to_numpy() for c in table["q"].chunks]).astype(np.int64).reshape(len(ids), width)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if not asks.all():
-            index = SlicedBlock(ids[~asks], values[~asks])
-            for query_id, query in zip(ids[asks], values[asks], strict=True):
-                found, scores = index.top(query, int(query_id), k)
-                out.append((np.full(len(found), query_id), found, scores))
-        joined = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), joined, strict=True)))
-
-    local = data.unionByName(queries).groupBy("size", "block", "part").applyInArrow(search, "query_id long, vec_id long, score long")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    data = rows.select("size", place.alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("size", "v")).alias("a")).select("vec_id", "a.*")
+    queries = asked.select("size", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one size and block come together, those of the index before those that ask."""
+        now: tuple[int, int] | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        index: SlicedBlock | None = None
+        for batch in batches:
+            sizes, at, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.flatnonzero(np.r_[True, (sizes[1:] != sizes[:-1]) | (at[1:] != at[:-1]) | (asks[1:] != asks[:-1])])
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True) if batch.num_rows else ():
+                if (here := (int(sizes[a]), int(at[a]))) != now:
+                    now, held, index = here, [], None
+                ids = batch.column(3).slice(a, z - a).to_numpy()
+                values = batch.column(4).slice(a, z - a).flatten().to_numpy().reshape(z - a, now[0])
+                if not asks[a]:
+                    held.append((ids, values))
+                    continue
+                if index is None and held:
+                    joined = np.concatenate([v for _, v in held])
+                    index, held = SlicedBlock(np.concatenate([i for i, _ in held]), whole(joined)), []
+                if index is None:
+                    continue
+                # Each query is a block of its own here: one with large components mustn't slow the others.
+                for own, value in zip(ids.tolist(), values, strict=True):
+                    query = whole(value)
+                    both = max(int(np.abs(query).max(initial=0)), 1) * max(abs(index.low), abs(index.high), 1) * max(1, now[0])
+                    found, scores = (index if both < 1 << 62 else index.wide()).top(query, own, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), own)), pa.array(found), pa.array(scores.tolist(), pa.int64())], ["query_id", "vec_id", "score"])
+
+    dealt = data.unionByName(queries).repartition("size", "block").sortWithinPartitions("size", "block", "asks")
+    local = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     # Each task hands on k rows of a query at most, so what is merged doesn't grow with the rows.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,16 +6,20 @@ the source's cumulative demand; the inverse of the demand at that point is the d
 position, and documents are range-sorted by it. Everything is made of DataFrame functions.
 
 A source's running sums are taken in hashed ranges: a sum for each range, running sums over a source's
-few ranges, then running sums within a range. So no task holds a source, however large.
+ranges, then running sums within a range. The hash is that of id and text, so rows without an id, or with
+one id, are spread too, and there are as many ranges as keep them at some ``RANGE_ROWS`` rows. So no task
+holds a source, however large; one task holds a row for each source.
 
 Defined results: a null text has size 0; null is a source of its own, the last; an empty table gives
-no rows. Rows with the same id are each mixed for themselves; those alike in id, source and size may
+no rows. Rows with the same id are each mixed for themselves; those alike in id, source and text may
 change places. A source without words has target 0, and its documents are taken 0 times.
-Extra columns are ignored by ``taken`` and kept by ``mixed``.
+Extra columns are ignored by ``mix`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +29,8 @@ from gaugeline.llm._common import WORD, written
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # 150 % of all sizes
 MOST = 2  # passes over a source
-RANGE_DIGITS = 2  # hexadecimal: 256 hashed ranges of each source
+RANGE_ROWS = 100_000  # rows of a hashed range, of which a source has 256 at least
+BROADCAST_RANGES = 200_000  # ranges of all sources, of some 100 bytes each; more are joined by a shuffle
 #: (time, relative weight) points of each schedule, taken by turns like WEIGHTS: falling, level, rising.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 1.75)))
 
@@ -69,27 +74,37 @@ def demand_inverse(share: Column, schedule: tuple[tuple[float, float], ...]) ->
         left = share * whole - done
         slope = (w1 - w0) / (t1 - t0)
         # w0 x + slope x^2 / 2 = left, in the form that also holds for slope 0
-        root = F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 2 * slope * left))
+        root = F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + (2 * slope) * left))
         time = F.least(F.lit(t1), t0 + 2 * left / F.greatest(w0 + root, F.lit(1e-12)))
         done += part
         out = F.when(share * whole <= done, time) if out is None else out.when(share * whole <= done, time)
     return out.otherwise(schedule[-1][0])
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """docs with size, source_size, target, __turn, __start, the words of the source before the document, and
-    __passes. The words before the target's end are taken, so all but one document of a source are taken
-    whole in each pass; __passes, for ``mixed``, counts those of which at least half is taken."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    sized = sized.withColumn("__hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("__range", F.substring("__hash", 1, RANGE_DIGITS))
+def order_hash(doc_id: Column, text: Column) -> Column:
+    """What orders a source's documents."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def placed(sized: DataFrame, rows: int) -> DataFrame:
+    """sized (source, size, __hash, ...) with source_size, target, __turn, __start, the words of the source before the
+    document, and __passes. The words before the target's end are taken, so all but one document of a source are
+    taken whole in each pass; __passes, for ``mixed``, counts those of which at least half is taken."""
+    digits = 2 + max(0, math.ceil(math.log(max(rows, 1) / (256 * RANGE_ROWS), 16)))
+    sized = sized.withColumn("__range", F.substring("__hash", 1, digits))
     ranges = sized.groupBy("source", "__range").agg(F.sum("size").alias("__in"))
     upto = W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     starts = ranges.withColumn("__before", F.coalesce(F.sum("__in").over(upto), F.lit(0)))
     goals = targets(ranges.groupBy("source").agg(F.sum("__in").alias("source_size")))
-    known = starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(
-        starts["source"].alias("__source"), F.col("__range").alias("__known"), "__before", goals["source_size"], F.col("turn").alias("__turn"), "target"
+    known = written(
+        starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(
+            starts["source"].alias("__source"), F.col("__range").alias("__known"), "__before", goals["source_size"], F.col("turn").alias("__turn"), "target"
+        ),
+        "ranges",
     )
-    within = W.partitionBy("source", "__range").orderBy("__hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    if known.count() <= BROADCAST_RANGES:
+        known = F.broadcast(known)
+    within = W.partitionBy("source", "__range").orderBy("__hash").rowsBetween(W.unboundedPreceding, -1)
     summed = sized.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     start = F.col("__before") + F.col("__within")
     out = summed.join(known, summed["source"].eqNullSafe(known["__source"]) & (F.col("__range") == F.col("__known"))).withColumn("__start", start)
@@ -103,11 +118,11 @@ def passes(docs: DataFrame) -> DataFrame:
     """The mix in passes, range-sorted by training position and written: doc_id, source, size, source_size, target,
     __start, __pass, __words (that the pass takes, all but the last of a source whole) and __position. What isn't
     taken has one pass without words or position; __none tells rows without words apart."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.col("text"))
+    own = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("__hash")), "sizes")
     end = F.floor(F.col("target") + 0.5)
     words = F.array(*(F.least(F.greatest(end - p * F.col("source_size") - F.col("__start"), F.lit(0)), F.col("size")).cast("long") for p in range(MOST)))
     known = ("doc_id", "source", "size", "source_size", "target", "__start")
-    dealt = placed(own).select(*known, "__turn", F.posexplode(words).alias("__pass", "__words")).where("__pass = 0 OR __words > 0")
+    dealt = placed(own, own.count()).select(*known, "__turn", F.posexplode(words).alias("__pass", "__words")).where("__pass = 0 OR __words > 0")
     timed = dealt.withColumn("__position", F.when(F.col("__words") > 0, position(F.col("__pass")))).orderBy("__position", "doc_id", "__pass")
     return written(timed.select(*known, "__pass", "__words", "__position", F.when(F.col("size") == 0, F.monotonically_increasing_id()).alias("__none")), "mix")
 
@@ -133,21 +148,32 @@ def position(taken_before: Column) -> Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: docs' whole rows, one for each pass that takes at least half of it, range-sorted by training position."""
     names = docs.columns
-    own = docs.select(F.struct(*(F.col(c) for c in names)).alias("__whole"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    dealt = placed(own).select("__whole", "source_size", "size", "target", "__start", "__turn", F.explode(F.when(F.col("__passes") > 0, F.sequence(F.lit(0), F.col("__passes") - 1))).alias("__pass"))
+    own = docs.select(F.struct(*(F.col(c) for c in names)).alias("__whole"), "source", word_count(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("__hash"))
+    dealt = placed(own, docs.count()).select("__whole", "source_size", "size", "target", "__start", "__turn", F.explode(F.when(F.col("__passes") > 0, F.sequence(F.lit(0), F.col("__passes") - 1))).alias("__pass"))
     timed = dealt.withColumn("__position", position(F.col("__pass")))
     return timed.orderBy("__position", "__whole.doc_id", "__pass").select("__whole.*")
 
 
-#: The same as mix() in DuckDB.
-ORACLE = """
+def _inverse_sql(schedule: tuple[tuple[float, float], ...]) -> str:
+    """The time at which a schedule's share x of its integral is reached, in DuckDB."""
+    parts = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:], strict=False)]
+    out, done = "CASE", 0.0
+    for (t0, w0), (t1, w1), part in zip(schedule, schedule[1:], parts, strict=False):
+        left, slope = f"(x * {sum(parts)}::DOUBLE - {done}::DOUBLE)", (w1 - w0) / (t1 - t0)
+        done += part
+        out += f" WHEN x * {sum(parts)}::DOUBLE <= {done}::DOUBLE THEN least({t1}::DOUBLE, {t0}::DOUBLE + 2 * {left} / greatest({w0}::DOUBLE + sqrt(greatest(0::DOUBLE, {w0 * w0}::DOUBLE + {2 * slope}::DOUBLE * {left})), 1e-12::DOUBLE))"
+    return f"{out} ELSE {schedule[-1][0]}::DOUBLE END"
+
+
+#: The query over documents in DuckDB.
+ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
-  SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2 * source_size AS bound
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn, [3, 1, 2][turn + 1] AS weight, 2 * source_size AS bound
   FROM sources),
 levels AS (
   SELECT *,
@@ -157,15 +183,19 @@ levels AS (
   WINDOW before AS (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 water AS (SELECT first(level ORDER BY bound / weight, source NULLS LAST) AS water FROM levels WHERE level <= bound / weight),
 goals AS (
-  SELECT source, source_size,
+  SELECT source, source_size, turn,
     CASE WHEN source_size = 0 THEN 0.0 ELSE least(bound::DOUBLE, coalesce(weight * water, bound::DOUBLE)) END AS target
   FROM levels CROSS JOIN water),
 ordered AS (
-  SELECT doc_id, s.source, size, source_size, target,
-    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  SELECT doc_id, s.source, size, source_size, target, turn,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
     floor(target + 0.5)::BIGINT AS stop
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  (least(greatest(stop - start, 0), size) + least(greatest(stop - source_size - start, 0), size))::BIGINT AS taken
-FROM ordered
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+taken AS (
+  SELECT *, (least(greatest(stop - start, 0), size) + least(greatest(stop - source_size - start, 0), size))::BIGINT AS taken,
+    (start + size / 2)::DOUBLE / nullif(target, 0) AS x
+  FROM ordered)
+SELECT doc_id, size, source_size, target, taken, round(CASE WHEN taken > 0 THEN
+  CASE turn {" ".join(f"WHEN {k} THEN {_inverse_sql(s)}" for k, s in enumerate(SCHEDULES))} END END, 8) AS first_position
+FROM taken
 """

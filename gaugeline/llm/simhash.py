@@ -217,16 +217,23 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "root")
 
 
-def components(docs: DataFrame, *, most: int = 2, shingle: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of each document."""
+def components(docs: DataFrame, *, most: int = 2, shingle: int = 3, hot_share: float = 0.001) -> DataFrame:
+    """doc_id, fp and component_id of each document.
+
+    Fingerprints of more than ``hot_share`` of the documents, of which there are 1 / hot_share at most, are broadcast with
+    their components, so documents that share one don't meet in one task."""
     own = written(fingerprints(docs, shingle=shingle), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
     roots = connected(links(distinct, most=most))
     joined = distinct.join(roots, F.col("fp") == F.col("node"))
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = joined.join(lows, "root").select("fp", "component_id")
-    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "n"), "components")
+    total = of_fp.agg(F.sum("n")).first()[0] or 0
+    hot = of_fp.where(F.col("n") > hot_share * total).select("fp", "component_id", F.lit(True).alias("hot"))
+    seen = own.join(F.broadcast(hot), "fp", "left")
+    rare = seen.where("hot IS NULL").drop("component_id").join(of_fp.where(F.col("n") <= hot_share * total), "fp")
+    return seen.where("hot").select("doc_id", "fp", "component_id").unionByName(rare.select("doc_id", "fp", "component_id"))
 
 
 def keep_first(docs: DataFrame, *, most: int = 2, shingle: int = 3) -> DataFrame:

@@ -12,9 +12,12 @@ least hash; equal windows have equal anchors. The windows of one anchor are a pi
    document. Broadcasting the automata of all shards to all documents instead would cost their product;
 4. each document's removed windows are joined to maximal spans and cut out.
 An anchor in very many documents with pieces that differ is dealt out by single windows, so no shard is large.
+More shared anchors than bitmaps can tell apart are taken in parts, each with a pass of its own over the documents.
 
-Documents are ordered by doc_id, a null one last. Words are compared by 64-bit hashes, pieces by hashes of
-those. Defined results: a null text has no words. Rows of one id don't remove words from each other.
+Documents are ordered by doc_id, a null one last. Words are compared by 64-bit hashes, pieces by two hashes of 64 bits
+of those, of the anchor and the whole piece, or of a single window under two bases. Two pieces are mistaken for
+each other only if both agree by chance, or two words of equal hashes stand between the same other words.
+Defined results: a null text has no words. Rows of one id don't remove words from each other.
 Texts of fewer than ``WINDOW`` words are left alone. Extra columns are ignored.
 """
 
@@ -34,6 +37,7 @@ from gaugeline.llm._common import map_columns, written
 WINDOW, GRAM = 13, 6
 HOT = 4096  # pieces of an anchor, from which they are dealt out by windows
 MOST_BITS = 28  # a bitmap has 2^28 bits at most
+FULL = 4  # bits for each shared anchor at least; for more anchors there are several passes
 SHARD_WORDS = 30_000
 LAST = (1 << 63) - 1  # the order of a document without an id
 
@@ -70,6 +74,14 @@ class Pieces:
         """Hashes of runs of words."""
         return _mixed((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64))
 
+    def other(self, start: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of runs of words that don't depend on those of span()."""
+        own = _mixed(self.hashes ^ _BASE)
+        out = np.full(len(start), length, np.uint64)
+        for k in range(length):
+            out = _mixed(out + own[start + k])
+        return out
+
     def words(self, k: int) -> np.ndarray:
         return self.hashes[self.first[k] : self.first[k] + self.windows[k] + self.window - 1]
 
@@ -215,8 +227,13 @@ def first_documents(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_columns(dealt, run, "route long, content long, firsts array<long>")
 
 
-def occurrences(docs: DataFrame, shared: bytes, mixed: bytes, hot: bytes, window: int = WINDOW) -> DataFrame:
-    """doc_id, place, text_hash, route, content, first, windows and, where pieces differ, words of what shared anchors have."""
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of so many parts a key belongs to; the low bits, by which a bitmap tells keys apart, don't decide it."""
+    return (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
+
+
+def occurrences(docs: DataFrame, shared: bytes, mixed: bytes, hot: bytes, window: int = WINDOW, part: int = 0, parts: int = 1) -> DataFrame:
+    """doc_id, place, text_hash, route, content, first, windows and, where pieces differ, words of what shared anchors of a part have."""
     spark = docs.sparkSession
     sets = spark.sparkContext.broadcast((shared, mixed, hot))
 
@@ -231,12 +248,15 @@ def occurrences(docs: DataFrame, shared: bytes, mixed: bytes, hot: bytes, window
                     continue
                 p, h = Pieces(words, window), text_hash(text)
                 in_shared = held(shared, p.key)
+                if parts > 1:
+                    in_shared &= part_of(p.key, parts) == part
                 in_mixed, in_hot = in_shared & held(mixed, p.key), in_shared & held(hot, p.key)
                 for k in np.flatnonzero(in_shared).tolist():
                     first, n = int(p.first[k]), int(p.windows[k])
                     if in_hot[k]:
-                        each = p.span(np.arange(first, first + n), window).view(np.int64).tolist()
-                        out += [(doc_id, place, h, e, e, first + i, 1, p.hashes[first + i : first + i + window].view(np.int64)) for i, e in enumerate(each)]
+                        at = np.arange(first, first + n)
+                        each = zip(p.span(at, window).view(np.int64).tolist(), p.other(at, window).view(np.int64).tolist(), strict=True)
+                        out += [(doc_id, place, h, e, o, first + i, 1, p.hashes[first + i : first + i + window].view(np.int64)) for i, (e, o) in enumerate(each)]
                     else:
                         out.append((doc_id, place, h, int(p.key[k]), int(p.content[k]), first, n, p.words(k).view(np.int64) if in_mixed[k] else None))
                 if len(out) > 20_000:
@@ -257,9 +277,15 @@ def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """place, text_hash and starts (of removed windows: first and number) of each text that loses words."""
     known = written(anchors(docs, window), "anchors")
     counts = known.agg(F.count("*").alias("all"), F.count(F.when(F.col("content").isNull(), 1)).alias("mixed"), F.count(F.when(F.col("content").isNull() & (F.col("n") > HOT), 1)).alias("hot")).first()
-    shared = bitmap(known, counts["all"])
-    mixed, hot = bitmap(known.where("content IS NULL"), counts["mixed"]), bitmap(known.where(F.col("content").isNull() & (F.col("n") > HOT)), counts["hot"])
-    found = written(occurrences(docs, shared, mixed, hot, window), "occurrences")
+    parts = max(1, -(-counts["all"] * FULL >> MOST_BITS))
+    found = None
+    for part in range(parts):
+        # As part_of(): the quotient of an unsigned number of 32 bits.
+        own = known if parts == 1 else known.where(F.shiftrightunsigned("key", 32) % parts == part)
+        differ = own.where("content IS NULL")
+        sets = [bitmap(keys, -(-n // parts)) for keys, n in ((own, counts["all"]), (differ, counts["mixed"]), (differ.where(F.col("n") > HOT), counts["hot"]))]
+        one = written(occurrences(docs, *sets, window, part, parts), "occurrences")
+        found = one if found is None else found.unionByName(one)
     # Sums over what map tasks have seen come first, so a piece of very many documents is one row a task.
     distinct = found.where("words IS NOT NULL").groupBy("route", "content").agg(F.min("place").alias("low"), F.any_value("words").alias("words"))
     solved = first_documents(distinct, window).select("route", "content", "firsts", F.lit(None).cast("long").alias("low"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from gaugeline.llm import bsi_topk, mixing, simhash, substring_dedup, warc
-from gaugeline.llm._common import shared_dir
+from gaugeline.llm._common import row_key, shared_dir
 
 
 def brute_top(rows, k=5, every=50):
@@ -32,16 +32,37 @@ def test_top_k(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     from pyspark.sql import functions as F
 
-    got = bsi_topk.top_k(frame.withColumn("score", F.lit("x")).withColumn("q", F.lit(1)), block_rows=100, query_rows=5)
+    got = bsi_topk.top_k(frame.withColumn("score", F.lit("x")).withColumn("q", F.lit(1)), block_rows=100)
     seen = Counter((x.query_id, x.rank, x.score) for x in got.collect())
     want = Counter((q, n, s) for q, n, _, s in brute_top(rows))
     assert seen == want
     single = [x for x in rows if x[0] != 50]
-    got = bsi_topk.top_k(spark.createDataFrame(single, "vec_id long, embedding array<float>"), block_rows=64, query_rows=3)
+    got = bsi_topk.top_k(spark.createDataFrame(single, "vec_id long, embedding array<float>"), block_rows=64)
     assert {tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(single)
     assert bsi_topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Sums within 64 bits come out right whatever the components; only a returned score beyond them raises."""
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 4)]) for i in range(120)]
+    rows += [(i, [float(x) for x in r.normal(0, 2.0**20, 4)]) for i in range(200, 260)] + [(300, [1e6, -1e6, 0.5, 0.0]), (301, [2.0**24, 0.0, 0.0, 0.0]), (350, [0.0, 0.0, 0.0, 2.0**-3])]
+    schema = "vec_id long, embedding array<double>"
+    got = bsi_topk.top_k(spark.createDataFrame(rows, schema), block_rows=40)
+    assert {tuple(x) for x in got.collect()} == brute_top(rows)
+    apart = [(0, [1e300, 0.0]), (1, [0.0, 3.0]), (2, [0.0, -3.0])]
+    got = bsi_topk.top_k(spark.createDataFrame(apart, schema))
+    assert [(x["rank"], x.vec_id, x.score) for x in got.orderBy("rank").collect()] == [(1, 1, 0), (2, 2, 0)]
+    with pytest.raises(Exception, match="too large|too big|int64|OverflowError"):
+        bsi_topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1e300])], schema)).collect()
+
+
+def test_rows_are_shuffled_once_whatever_the_queries(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(1000)], "vec_id long, embedding array<float>")
+    text = bsi_topk.top_k(rows, block_rows=100, every=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Generate explode") == 1  # of the queries; rows aren't replicated
+
+
 def test_bit_slices_add_and_select():
     r = np.random.default_rng(1)
     values = r.integers(-40, 40, (300, 5))
@@ -141,6 +162,23 @@ def test_simhash(odd, none):
     assert simhash.components(none).count() == 0
 
 
+def test_simhash_of_one_text_in_most_rows(spark):
+    rows = [(i, "the same few words again" if i % 10 else f"a text of its own number {i}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for share in (0.001, 0.5, 1.0):
+        got = simhash.components(frame, hot_share=share)
+        assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got.collect()) == brute_components(rows)
+
+
+def test_a_rows_key_tells_where_nulls_are(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(1, "x", None, "a"), (1, "x", "a", None)], "doc_id long, text string, b string, c string")
+    mapped = frame.withColumn("m", F.create_map(F.lit("k"), F.col("b")))
+    assert mapped.select(row_key(mapped).alias("k")).distinct().count() == 2
+    assert simhash.keep_first(mapped).columns == mapped.columns and simhash.keep_first(mapped).count() == 1
+
+
 @pytest.mark.parametrize("group_rows", [4, 40, 4096])
 def test_links_join_all_that_is_near(spark, group_rows):
     """Whether groups are split or not; chains and near copies of one fingerprint."""
@@ -187,9 +225,12 @@ def brute_dedup(rows, window=13):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_substring_dedup(odd, none, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(4096, 28), (2, 28), (2, 15)])
+def test_substring_dedup(odd, none, monkeypatch, hot, bits):
+    """Whether anchors are dealt out by windows, and documents read in several passes, or not."""
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", bits)
+    monkeypatch.setattr(substring_dedup, "FULL", 4 if bits == 28 else 12)
     got = Counter(tuple(r) for r in substring_dedup.dedup(odd).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     assert got == brute_dedup([(r.doc_id, r.text) for r in odd.collect()])
     assert substring_dedup.dedup(none).count() == 0
