@@ -17,8 +17,11 @@ def mapped_videos(videos: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def footprint(mapped: DataFrame) -> DataFrame:
-    """A1 and A2: run_id, channel_id, run_videos (distinct) and the sorted ids of linked artists."""
-    return mapped.groupBy("run_id", "channel_id").agg(F.countDistinct("video_id").alias("run_videos"), F.array_sort(F.collect_set("artist_id")).alias("artist_ids"))
+    """A1 and A2: run_id, channel_id, run_videos and the sorted ids of linked artists.
+
+    A mapping is one row a video (gate G5), so videos are counted by artist first and no set of them is made."""
+    by_artist = mapped.groupBy("run_id", "channel_id", "artist_id").agg(F.count("video_id").alias("n"))
+    return by_artist.groupBy("run_id", "channel_id").agg(F.sum("n").alias("run_videos"), F.array_sort(F.collect_list("artist_id")).alias("artist_ids"))
 
 
 def missing_records(mapped: DataFrame, channels: DataFrame) -> DataFrame:

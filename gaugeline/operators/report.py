@@ -24,8 +24,9 @@ def publication_counts(videos: DataFrame, rules: ReportRules | None = None) -> D
     return videos.groupBy("run_id", "artist_id").agg(*publications(rules))
 
 
-def examples(videos: DataFrame) -> DataFrame:
-    """Of each artist's three fastest videos the latest; views, then the id decide ties. rule_applied says which did."""
+def examples(videos: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of each artist's three fastest videos the latest; views, then the id decide ties. rule_applied says which did.
+    Columns named in ``carry`` come along."""
     fast = Window.partitionBy("run_id", "artist_id").orderBy(F.desc_nulls_last(F.round("vel", 8)), "video_id")
     best = Window.partitionBy("run_id", "artist_id").orderBy(F.desc("published_at"), F.desc(F.coalesce("views", F.lit(-1))), "video_id")
     three = videos.withColumn("__place", F.row_number().over(fast)).where("__place <= 3")
@@ -34,18 +35,19 @@ def examples(videos: DataFrame) -> DataFrame:
         F.row_number().over(best).alias("__n"),
         F.lead("published_at").over(best).alias("__next_at"),
         F.lead(F.coalesce("views", F.lit(-1))).over(best).alias("__next_views"),
+        *carry,
     )
     rule = F.when(F.col("__next_at").isNull() | (F.col("published_at") != F.col("__next_at")), "primary").when(F.coalesce("views", F.lit(-1)) != F.col("__next_views"), "secondary").otherwise("final")
-    return judged.where("__n = 1").select("run_id", "artist_id", F.col("video_id").alias("example_video_id"), rule.alias("rule_applied"))
+    return judged.where("__n = 1").select("run_id", "artist_id", F.col("video_id").alias("example_video_id"), rule.alias("rule_applied"), *carry)
 
 
 def report(scores: DataFrame, videos: DataFrame, artists: DataFrame, rules: ReportRules | None = None) -> DataFrame:
     """The report's rows: the shown artists, a few a run, with the example of each."""
     rules = rules or ReportRules()
-    top = shown(scores, rules)
-    of_shown = videos.join(top.select("run_id", "artist_id"), ["run_id", "artist_id"], "left_semi")
-    key = ["run_id", "artist_id"]
-    joined = top.join(examples(of_shown), key).join(artists.select("artist_id", "canonical_name"), "artist_id")
+    said = ("rank", "tag", "final_score", "signals", "velocity_median", "competition", "recent_7d", "prior_7d")
+    # What is said of the shown artists goes with their videos, so the ranking is worked out and joined once.
+    of_shown = videos.join(shown(scores, rules).select("run_id", "artist_id", *said), ["run_id", "artist_id"])
+    joined = examples(of_shown, said).join(artists.select("artist_id", "canonical_name"), "artist_id")
     return joined.select(
         "run_id", "rank", "artist_id",
         F.concat("canonical_name", F.lit(" Type Beat")).alias("title"),

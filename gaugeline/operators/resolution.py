@@ -16,9 +16,14 @@ def name_index(names: DataFrame, normalize: Callable[[Column], Column] = X.norma
     return names.select("artist_id", normalize(F.col("name")).alias("name")).where("name <> ''").groupBy("name").agg(F.array_sort(F.collect_set("artist_id")).alias("artist_ids"))
 
 
-def attempts(videos: DataFrame, index: DataFrame, normalize: Callable[[Column], Column] = X.normalize) -> DataFrame:
-    """videos with what the rules on titles alone say: rule_candidate, rule_reason, rule_artist_id."""
-    titled = videos.withColumn("__normal", normalize(F.col("source_title"))).withColumn("__markers", X.marker_count(F.col("source_title"))).withColumn("__found", X.candidate(F.col("source_title")))
+CANDIDATE_REASONS = ("candidate_outside_source_title", "regex_multiple_artists", "regex_metadata_residual", "artist_alias_collision", "regex_autoaccepted")
+
+
+def judge_titles(titles: DataFrame, index: DataFrame, normalize: Callable[[Column], Column] = X.normalize) -> DataFrame:
+    """What the rules say of each distinct title (source_title): rule_candidate, rule_reason, rule_artist_id.
+
+    However many videos share a title, the patterns are matched once."""
+    titled = titles.select("source_title").distinct().withColumn("__normal", normalize(F.col("source_title"))).withColumn("__markers", X.marker_count(F.col("source_title"))).withColumn("__found", X.candidate(F.col("source_title")))
     named = titled.withColumn("__name", normalize(F.col("__found")))
     joined = named.join(index.withColumnRenamed("name", "__index").withColumnRenamed("artist_ids", "__ids"), F.col("__name") == F.col("__index"), "left")
     found = F.col("__found")
@@ -33,23 +38,30 @@ def attempts(videos: DataFrame, index: DataFrame, normalize: Callable[[Column],
         .when(F.size("__ids") > 1, "artist_alias_collision")
         .otherwise("regex_autoaccepted")
     )
-    with_candidate = ["candidate_outside_source_title", "regex_multiple_artists", "regex_metadata_residual", "artist_alias_collision", "regex_autoaccepted"]
     return joined.withColumn("rule_reason", reason).select(
-        *(videos[c] for c in videos.columns),
-        F.when(F.col("rule_reason").isin(with_candidate), found).alias("rule_candidate"),
+        "source_title",
+        F.when(F.col("rule_reason").isin(*CANDIDATE_REASONS), found).alias("rule_candidate"),
         "rule_reason",
         F.when((F.col("rule_reason") == "regex_autoaccepted") & (F.size("__ids") == 1), F.col("__ids")[0]).alias("rule_artist_id"),
     )
 
 
-def resolve(videos: DataFrame, names: DataFrame, *, facts: DataFrame | None = None, pending: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize, carry: list[str] | None = None) -> DataFrame:
+def attempts(videos: DataFrame, judged: DataFrame) -> DataFrame:
+    """videos with what is said of their titles."""
+    said = judged.withColumnRenamed("source_title", "__title")
+    return videos.join(said, videos["source_title"].eqNullSafe(said["__title"])).drop("__title")
+
+
+def resolve(videos: DataFrame, names: DataFrame, *, facts: DataFrame | None = None, pending: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize, carry: list[str] | None = None, judged: DataFrame | None = None, extract: Callable[[Column], Column] | None = None) -> DataFrame:
     """One outcome for each video: blank title, then an earlier final fact, then a pending review, then the rules.
 
     facts: run_id, video_id, method, candidate, decision, final_name, reason_code, artist_id, of one resolver version.
-    pending: run_id, video_id, proposed_name, method, resolver_version. Without a model what the rules leave open needs
-    review; the rules' own reason is kept in rule_reason. Columns of videos named in ``carry`` come along, so what goes on
-    with a video's numbers needs no join back to the videos."""
-    tried = attempts(videos, name_index(names, normalize), normalize)
+    pending: run_id, video_id, proposed_name, method, resolver_version. What the rules leave open needs review, unless
+    ``extract`` gives a model's reply on a title, a JSON text or null for a failed call (C4): a candidate that the title
+    holds is then pending, and any other reply is rejected for good. The rules' own reason is kept in rule_reason.
+    Columns of videos named in ``carry`` come along, so what goes on with a video's numbers needs no join back to the
+    videos. ``judged`` is what judge_titles() gives, if it is known already."""
+    tried = attempts(videos, judge_titles(videos, name_index(names, normalize), normalize) if judged is None else judged)
     key = ["run_id", "video_id"]
     none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
     if facts is not None:
@@ -65,21 +77,35 @@ def resolve(videos: DataFrame, names: DataFrame, *, facts: DataFrame | None = No
     blank, replayed, waits = F.col("rule_reason") == "source_title_missing", F.col("fact").isNotNull(), F.col("wait").isNotNull()
     accepted, outside = F.col("rule_reason") == "regex_autoaccepted", F.col("rule_reason") == "candidate_outside_source_title"
     conflict = F.col("wait.resolver_version") != RESOLVER_VERSION
+    missing = F.lit(None).cast("string")
+    if extract is not None:
+        asked = ~(blank | replayed | waits | accepted | outside)
+        tried = tried.withColumn("__reply", F.when(asked, extract(F.col("source_title"))))
+        named, error = parse_reply(F.col("__reply"))
+        within = X.is_supported(normalize(named), normalize(F.col("source_title")))
+        fault = F.when(F.col("__reply").isNull(), "llm_call_failed").when(error.isNotNull(), error).when(named.isNull(), "llm_no_single_candidate").when(~F.coalesce(within, F.lit(False)), "candidate_outside_source_title")
+        tried = tried.withColumn("__named", named).withColumn("__fault", fault)
+        open_method, open_candidate = F.lit("llm_assisted"), F.when(F.col("__fault").isNull() | (F.col("__fault") == "candidate_outside_source_title"), F.col("__named"))
+        open_decision, open_review = F.when(F.col("__fault").isNull(), "review_required").otherwise("rejected"), F.col("__fault").isNull()
+        open_reason = F.coalesce("__fault", F.concat("rule_reason", F.lit(":llm_candidate_pending")))
+    else:
+        open_method, open_candidate, open_decision, open_review, open_reason = F.lit("unknown"), missing, F.lit("review_required"), F.lit(True), F.lit("llm_unavailable")
 
     def pick(blank_value, fact_field, wait_value, yes, no, review) -> Column:  # noqa: ANN001
         return F.when(blank, blank_value).when(replayed, F.col(f"fact.{fact_field}")).when(waits, wait_value).when(accepted, yes).when(outside, no).otherwise(review)
 
-    missing = F.lit(None).cast("string")
+    stray = waits & ~blank & ~replayed & ~conflict & ~X.is_supported(normalize(F.col("wait.proposed_name")), normalize(F.col("source_title")))
+    reused = F.when(conflict, "pending_resolver_version_conflict").when(stray, F.raise_error(F.lit("a pending candidate isn't in its title")).cast("string")).otherwise("pending_candidate_reused")
     return tried.select(
         *key,
-        pick(F.lit("unknown"), "method", F.col("wait.method"), F.lit("regex"), F.lit("regex"), F.lit("unknown")).alias("method"),
-        pick(missing, "candidate", F.col("wait.proposed_name"), F.col("rule_candidate"), F.col("rule_candidate"), missing).alias("candidate"),
-        pick(F.lit("rejected"), "decision", F.lit("review_required"), F.lit("accepted"), F.lit("rejected"), F.lit("review_required")).alias("decision"),
+        pick(F.lit("unknown"), "method", F.col("wait.method"), F.lit("regex"), F.lit("regex"), open_method).alias("method"),
+        pick(missing, "candidate", F.col("wait.proposed_name"), F.col("rule_candidate"), F.col("rule_candidate"), open_candidate).alias("candidate"),
+        pick(F.lit("rejected"), "decision", F.lit("review_required"), F.lit("accepted"), F.lit("rejected"), open_decision).alias("decision"),
         pick(missing, "final_name", missing, F.col("rule_candidate"), missing, missing).alias("final_name"),
-        pick(F.lit("source_title_missing"), "reason_code", F.when(conflict, "pending_version_conflict").otherwise("pending_review"), F.col("rule_reason"), F.col("rule_reason"), F.lit("llm_unavailable")).alias("reason_code"),
+        pick(F.lit("source_title_missing"), "reason_code", reused, F.col("rule_reason"), F.col("rule_reason"), open_reason).alias("reason_code"),
         pick(missing, "artist_id", missing, F.col("rule_artist_id"), missing, missing).alias("artist_id"),
-        F.when(blank | replayed, False).when(waits, True).otherwise(~accepted & ~outside).alias("needs_review"),
-        (replayed & ~blank).alias("replayed"),
+        F.when(blank | replayed, False).when(waits, True).when(accepted | outside, False).otherwise(open_review).alias("needs_review"),
+        ((replayed | waits) & ~blank).alias("replayed"),
         "rule_reason",
         *(carry or []),
     )

@@ -10,9 +10,11 @@ from gaugeline.plans.config import ReportRules, Rubric
 
 
 def measured(eligible: DataFrame, runs: DataFrame, rubric: Rubric | None = None) -> DataFrame:
-    """eligible with age (effective), vel, eng and weight; runs: run_id, window_end. J5's numbers stay with the videos."""
+    """eligible with age (effective), vel, eng and weight; runs: run_id, window_end, not needed by videos that carry it.
+    J5's numbers stay with the videos."""
     rubric = rubric or Rubric()
-    aged = eligible.join(runs.select("run_id", "window_end"), "run_id").withColumn("age", S.effective_age(S.age_days(F.col("published_at"), F.col("window_end")), rubric))
+    timed = eligible if "window_end" in eligible.columns else eligible.join(runs.select("run_id", "window_end"), "run_id")
+    aged = timed.withColumn("age", S.effective_age(S.age_days(F.col("published_at"), F.col("window_end")), rubric))
     return aged.withColumn("vel", S.velocity(F.col("views"), F.col("age"))).withColumn("eng", S.engagement_rate(F.col("likes"), F.col("comments"), F.col("views"))).withColumn("weight", S.recency_weight(F.col("age"), rubric))
 
 
@@ -26,15 +28,22 @@ def publications(rules: ReportRules | None = None) -> list[Column]:
 
 
 def artist_metrics(videos: DataFrame, rules: ReportRules | None = None) -> DataFrame:
-    """Signals, competition, velocity_median, engagement and publication counts of each artist, in one aggregate."""
-    rated = F.col("eng").isNotNull()
-    return videos.groupBy("run_id", "artist_id").agg(
-        F.countDistinct("video_id").alias("signals"),
-        F.countDistinct("channel_id").alias("competition"),
-        F.median("vel").alias("velocity_median"),
-        F.try_divide(F.sum(F.when(rated, F.col("weight") * F.col("eng"))), F.sum(F.when(rated, F.col("weight")))).alias("engagement"),
-        *publications(rules),
+    """Signals, competition, velocity_median, engagement and publication counts of each artist.
+
+    videos has one row a video (gate G5). What adds up is summed by channel first, which also counts the channels; the
+    exact median, which needs an artist's values together, is an aggregate of one column."""
+    rated, key = F.col("eng").isNotNull(), ["run_id", "artist_id"]
+    weighted, weight = F.sum(F.when(rated, F.col("weight") * F.col("eng"))), F.sum(F.when(rated, F.col("weight")))
+    by_channel = videos.groupBy(*key, "channel_id").agg(F.count("video_id").alias("n"), weighted.alias("__weighted"), weight.alias("__weight"), *publications(rules))
+    sums = by_channel.groupBy(*key).agg(
+        F.sum("n").alias("signals"),
+        F.count("channel_id").alias("competition"),
+        F.try_divide(F.sum("__weighted"), F.sum("__weight")).alias("engagement"),
+        F.sum("recent_7d").alias("recent_7d"),
+        F.sum("prior_7d").alias("prior_7d"),
     )
+    medians = videos.groupBy(*key).agg(F.median("vel").alias("velocity_median"))
+    return sums.join(medians, key)
 
 
 def scored(metrics: DataFrame, rubric: Rubric | None = None) -> DataFrame:

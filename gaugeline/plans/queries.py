@@ -47,7 +47,7 @@ def relations(spark: SparkSession, d: str, run: str = "run_id") -> plan.Relation
     if run != "run_id":
         v = v.withColumn("run_id", F.col(run)).withColumn("window_end", F.expr("CAST(date_trunc('year', published_at) + INTERVAL '1' YEAR AS TIMESTAMP)"))
     runs = v.groupBy("run_id").agg(F.max("window_end").alias("window_end"))
-    return plan.Relations(runs, v.drop("window_end", "year_id"), A.relation(spark, d, A.CHANNELS), A.relation(spark, d, A.ARTISTS), A.relation(spark, d, A.NAMES))
+    return plan.Relations(runs, v.drop("year_id"), A.relation(spark, d, A.CHANNELS), A.relation(spark, d, A.ARTISTS), A.relation(spark, d, A.NAMES))
 
 
 def stages_of(spark: SparkSession, d: str, run: str = "run_id") -> plan.Stages:
@@ -187,8 +187,8 @@ def channel_footprint(spark: SparkSession, d: str) -> DataFrame:
 @query("mapped_videos", BASE + "SELECT run_id, video_id, artist_id, channel_id, views FROM mapped")
 def mapped_videos(spark: SparkSession, d: str) -> DataFrame:
     """J1."""
-    r = relations(spark, d)
-    return C.mapped_videos(r.videos, N.final_mappings(stages_of(spark, d).outcomes)).select("run_id", "video_id", "artist_id", "channel_id", "views")
+    s = stages_of(spark, d)
+    return C.mapped_videos(s.relations.videos, N.final_mappings(s.outcomes)).select("run_id", "video_id", "artist_id", "channel_id", "views")
 
 
 @query("artist_projections", BASE + "SELECT run_id, artist_id, count(DISTINCT video_id) AS signals, count(DISTINCT channel_id) AS competition FROM measured GROUP BY ALL")
@@ -272,7 +272,8 @@ def report_stamped(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT DISTINCT run_id FROM videos) r LEFT JOIN scores s USING (run_id) GROUP BY r.run_id""",
 )
 def run_status(spark: SparkSession, d: str) -> DataFrame:
-    return R.run_status(relations(spark, d).runs, stages_of(spark, d).scores)
+    s = stages_of(spark, d)
+    return R.run_status(s.resolved.select("run_id").distinct(), s.scores)
 
 
 @query(
@@ -529,8 +530,8 @@ def gate_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gate_missing_channels", BASE + "SELECT DISTINCT run_id, channel_id FROM mapped WHERE channel_id NOT IN (SELECT channel_id FROM channels WHERE subscriber_count IS NOT NULL)")
 def gate_missing_channels(spark: SparkSession, d: str) -> DataFrame:
-    r = relations(spark, d)
-    return C.missing_records(stages_of(spark, d).mapped, r.channels.where("subscriber_count IS NOT NULL")).select("run_id", "channel_id")
+    s = stages_of(spark, d)
+    return C.missing_records(s.mapped, s.relations.channels.where("subscriber_count IS NOT NULL")).select("run_id", "channel_id")
 
 
 @query("gate_projection", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT video_id FROM v WHERE views IS DISTINCT FROM coalesce(views, 0) OR likes IS DISTINCT FROM coalesce(likes, 0)")

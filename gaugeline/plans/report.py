@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gaugeline.functions import text as X
 from gaugeline.operators import channels as C
 from gaugeline.operators import report as R
 from gaugeline.operators import resolution as N
 from gaugeline.operators import scoring as S
-from gaugeline.operators.gates import assert_empty, duplicates
+from gaugeline.operators.gates import assert_empty, blanks, duplicates, several_values
 from gaugeline.plans.config import FilterRule, ReportRules, Rubric
+from gaugeline.tables import written
 
 
 @dataclass(frozen=True)
@@ -27,33 +30,75 @@ class Relations:
     names: DataFrame
 
 
-@dataclass(frozen=True)
 class Stages:
-    outcomes: DataFrame
-    mapped: DataFrame
-    verdicts: DataFrame
-    eligible: DataFrame
-    measured: DataFrame
-    scores: DataFrame
+    """The stages of a plan, each made when it is first asked for.
+
+    What the rules say of titles, which video has which entity, and the channels' verdicts are written once and read
+    from there, so no pattern is matched again by what comes after."""
+
+    def __init__(self, relations: Relations, *, rule: FilterRule | None = None, rubric: Rubric | None = None, rules: ReportRules | None = None, facts: DataFrame | None = None, pending: DataFrame | None = None, overrides: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize, extract: Callable[[Column], Column] | None = None):
+        self.relations, self.rule, self.rubric, self.rules, self.overrides, self.normalize = relations, rule, rubric, rules, overrides, normalize
+        self._resolving = {"facts": facts, "pending": pending, "normalize": normalize, "extract": extract}
+        self._numbers = ["channel_id", "views", "likes", "comments", "published_at", *(["window_end"] if "window_end" in relations.videos.columns else [])]
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        return written(N.judge_titles(self.relations.videos, N.name_index(self.relations.names, self.normalize), self.normalize), "titles")
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return N.resolve(self.relations.videos, self.relations.names, carry=self._numbers, judged=self.judged, **self._resolving)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """What goes on of the outcomes, for all videos, written."""
+        return written(self.outcomes.select("run_id", "video_id", "decision", "needs_review", "artist_id", *self._numbers), "outcomes")
+
+    @cached_property
+    def mapped(self) -> DataFrame:
+        return N.final_mappings(self.resolved, self._numbers)
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """Raises if a mapped channel has no record (G12): without one nothing can be said of it."""
+        assert_empty(C.missing_records(self.mapped, self.relations.channels), "every channel has a record")
+        return written(C.verdicts(self.mapped, self.relations.channels, self.relations.names, rule=self.rule, overrides=self.overrides, normalize=self.normalize), "verdicts")
+
+    @cached_property
+    def eligible(self) -> DataFrame:
+        return C.eligible_videos(self.mapped, self.verdicts)
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        return S.measured(self.eligible, self.relations.runs, self.rubric)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return S.scored(S.artist_metrics(self.measured, self.rules), self.rubric)
+
 
+def stages(r: Relations, **options) -> Stages:  # noqa: ANN003
+    return Stages(r, **options)
 
-def check(relations: Relations) -> None:
-    """The gates before a run: keys once, every mapped channel known. Each gate is one small job."""
-    assert_empty(duplicates(relations.videos, ["run_id", "video_id"]), "one row a video")
-    assert_empty(duplicates(relations.channels, ["channel_id"]), "one row a channel")
 
+def check(r: Relations, videos: DataFrame | None = None) -> None:
+    """The gates before a run (G5, G13, A14): keys once and none blank, times known. Each gate is one small job.
 
-def stages(r: Relations, *, rule: FilterRule | None = None, rubric: Rubric | None = None, rules: ReportRules | None = None, facts: DataFrame | None = None, pending: DataFrame | None = None, overrides: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize) -> Stages:
-    numbers = ["channel_id", "views", "likes", "comments", "published_at"]
-    outcomes = N.resolve(r.videos, r.names, facts=facts, pending=pending, normalize=normalize, carry=numbers)
-    mapped = N.final_mappings(outcomes, numbers)
-    verdicts = C.verdicts(mapped, r.channels, r.names, rule=rule, overrides=overrides, normalize=normalize)
-    eligible = C.eligible_videos(mapped, verdicts)
-    videos = S.measured(eligible, r.runs, rubric)
-    return Stages(outcomes, mapped, verdicts, eligible, videos, S.scored(S.artist_metrics(videos, rules), rubric))
+    videos: the same videos, if they are written somewhere."""
+    own = r.videos if videos is None else videos
+    blank = F.bool_or((F.coalesce(F.trim("run_id"), F.lit("")) == "") | (F.coalesce(F.trim("video_id"), F.lit("")) == "") | (F.coalesce(F.trim("channel_id"), F.lit("")) == "") | F.col("published_at").isNull())
+    assert_empty(own.groupBy("run_id", "video_id").agg(F.count("*").alias("n"), blank.alias("blank")).where("n <> 1 OR blank"), "one row a video, with its channel and time")
+    assert_empty(duplicates(r.channels, ["channel_id"]), "one row a channel")
+    if "window_end" in own.columns:
+        assert_empty(several_values(own, ["run_id"], ["window_end"]), "one window a run")
+    else:
+        assert_empty(duplicates(r.runs, ["run_id"]), "one row a run")
+    assert_empty(duplicates(r.artists, ["artist_id"]), "one row an artist")
+    assert_empty(blanks(r.artists, ["artist_id", "canonical_name"]), "every artist has a name")
 
 
 def report(r: Relations, *, rules: ReportRules | None = None, **options) -> DataFrame:  # noqa: ANN003
-    """Each run's report rows."""
+    """Each run's report rows. The gates come first; rows that break one raise, and there is no report."""
     s = stages(r, rules=rules, **options)
+    check(r, s.resolved)
     return R.report(s.scores, s.measured, r.artists, rules)

@@ -76,7 +76,7 @@ def test_resolution_order(spark):
     assert got["v2"] == ("review_required", "llm_unavailable", None, True, False)
     assert got["v3"] == ("accepted", "review_approved", "a9", False, True)
     assert got["v4"] == ("accepted", "regex_autoaccepted", None, False, False)
-    assert got["v5"][:2] == ("review_required", "pending_version_conflict")
+    assert got["v5"] == ("review_required", "pending_resolver_version_conflict", None, True, True)
     assert {x.video_id for x in N.final_mappings(N.resolve(v, names)).collect()} == {"v0", "v5"}
 
 
@@ -106,8 +106,19 @@ def test_hot_needs_more_than_90(spark):
 def test_plan_has_no_python_and_prunes(spark):
     from gaugeline.plans import queries as q
 
-    text = q.report_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert "Python" not in text and "Cartesian" not in text and "l_tax" not in text.split("== Physical Plan ==")[1]
+    s = q.stages_of(spark, "/root/testdata/sf0.001")
+    outcomes, rows = s.outcomes._jdf.queryExecution().toString(), q.report_rows(spark, "/root/testdata/sf0.001")
+    text = rows._jdf.queryExecution().toString()
+    for t in (outcomes, text):
+        assert "Python" not in t and "Cartesian" not in t and "l_tax" not in t.split("== Physical Plan ==")[1]
+    # Outcomes read the videos once and match no pattern; the report reads neither.
+    physical = outcomes.split("== Physical Plan ==")[1]
+    assert physical.count("lineitem.parquet") <= 1 and "RLIKE" not in physical
+    rows.collect()
+    executed = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "lineitem" not in executed and "RLIKE" not in executed and "regexp" not in executed
+    assert 0 < executed.count(" Exchange hash") <= 5 and executed.count("Scan parquet") <= 5
+    spark.catalog.clearCache()
 
 
 def test_gates_fail_closed(spark):
@@ -115,4 +126,11 @@ def test_gates_fail_closed(spark):
     with pytest.raises(GateError, match="one row a video"):
         plan.check(r)
     plan.check(relations(spark, GOLDEN))
+    for broken in ([GOLDEN[0], GOLDEN[0]], [(*GOLDEN[0][:2], " ", *GOLDEN[0][3:])], [(*GOLDEN[0][:7], None)]):
+        with pytest.raises(GateError, match="one row a video"):
+            plan.report(relations(spark, broken))
+    whole = relations(spark, GOLDEN)
+    without = plan.Relations(whole.runs, whole.videos, whole.channels.where("channel_id <> 'kv-ch-00'"), whole.artists, whole.names)
+    with pytest.raises(GateError, match="every channel has a record"):
+        plan.report(without)
     assert SC.scored(SC.artist_metrics(plan.stages(relations(spark, GOLDEN)).measured)).where(F.col("v_ref").isNull()).count() == 0
