@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.plans.config import PIPELINE_VERSION, RESOLVER_VERSION, FilterRule, ReportRules, Rubric, canonical_json
 
+# The keys and texts of the evidence and the report are part of the golden digest.
 ZERO, ONE = Decimal(0), Decimal(1)
 ARTIST = "run_id string, artist_id string, signals int, competition int, velocity string, engagement string, recent int, prior int, reason string, example string"
 SCORE = "run_id string, artist_id string, norm_velocity string, norm_signals string, norm_engagement string, norm_diversity string, final_score int, rank int"

@@ -50,9 +50,14 @@ def first_intents(events: DataFrame) -> DataFrame:
     return first.select("producer_id", "artist_id", "report_id", F.col("f.event_id").alias("event_id"), F.col("f.created_at").alias("created_at"))
 
 
-def due_followups(intents: DataFrame, now: str, days: int = 10) -> DataFrame:
-    """Intents whose follow-up is due; the clock is given, never read."""
-    return intents.withColumn("due_at", F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).where(F.col("due_at") <= F.lit(now).cast("timestamp"))
+def scheduled_followups(intents: DataFrame, days: int = 10) -> DataFrame:
+    """A follow-up for each intent, pending, due so many days (10 to 14) after it."""
+    return intents.withColumn("due_at", F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).withColumn("status", F.lit("pending"))
+
+
+def due_followups(followups: DataFrame, now: str) -> DataFrame:
+    """Follow-ups that are pending and due; those sent, answered or missed aren't. The clock is given, never read."""
+    return followups.where((F.col("status") == "pending") & (F.col("due_at") <= F.lit(now).cast("timestamp")))
 
 
 def latest_wtp(events: DataFrame) -> DataFrame:

@@ -108,16 +108,37 @@ def bad_transitions(changes: DataFrame, allowed: list[tuple[str | None, str]]) -
 
 
 REPORT_STATES = [(None, "draft"), ("draft", "draft"), ("draft", "published"), ("published", "archived")]
-SESSION_STATES = ("session_open", "r1_resolved", "r1_reviewed", "r1_frozen", "r1_computed", "r2_computed", "passed")
+# The states of a session, in order.
+SESSION_STATES = ("session_open", "r1_awaiting_review", "r1_resolved", "r1_snapshot_frozen", "r1_computed", "passed")
 
 
 def session_transitions() -> list[tuple[str | None, str]]:
-    """One step on, or to failed; a session that needs no review may skip it. Ends are final."""
-    steps: list[tuple[str | None, str]] = [(None, SESSION_STATES[0]), (SESSION_STATES[1], SESSION_STATES[3])]
-    steps += list(zip(SESSION_STATES, SESSION_STATES[1:], strict=False))
+    """C11: one step on, or to failed, from every state that isn't an end; nothing else, not even to the same state."""
+    steps: list[tuple[str | None, str]] = [(None, SESSION_STATES[0]), *zip(SESSION_STATES, SESSION_STATES[1:], strict=False)]
     return steps + [(s, "failed") for s in SESSION_STATES[:-1]]
 
 
+def handshake(left: DataFrame, right: DataFrame, key: list[str], column: str) -> DataFrame:
+    """Groups whose rows of ``column`` differ between two stages, with how many only one of them has. Repeated rows count."""
+    one = lambda rows, n: rows.groupBy(*key, column).agg(F.count("*").alias(n))
+    a, b = one(left, "__l"), one(right, "__r")
+    both = a.join(b, [*key, column], "full").select(*key, F.greatest(F.coalesce("__l", F.lit(0)) - F.coalesce("__r", F.lit(0)), F.lit(0)).alias("l"), F.greatest(F.coalesce("__r", F.lit(0)) - F.coalesce("__l", F.lit(0)), F.lit(0)).alias("r"))
+    return both.groupBy(*key).agg(F.sum("l").alias("only_left"), F.sum("r").alias("only_right")).where("only_left > 0 OR only_right > 0")
+
+
+def unlike_body(rows: DataFrame, body: str, kind: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows that differ from the body they were projected from. columns: path and type of each column in the body;
+    an absent path is null, and null is never 0."""
+    pairs = [(F.get_json_object(body, "$.kind"), F.lit(kind))]
+    pairs += [(F.col(c), F.get_json_object(body, f"$.{path}").cast(to)) for c, (path, to) in columns.items()]
+    return unequal(rows, pairs)
+
+
+def is_admin(users: DataFrame, admins: DataFrame) -> DataFrame:
+    """Users (user_id) who are admins whose right isn't revoked."""
+    return users.join(admins.where("revoked_at IS NULL").select("user_id"), "user_id", "left_semi")
+
+
 def locked_by_reports(changed: DataFrame, items: DataFrame, reports: DataFrame, key: list[str]) -> DataFrame:
     """Changed rows that an item of a published or archived report refers to."""
     fixed = items.join(reports.where("status IN ('published', 'archived')").select("report_id"), "report_id", "left_semi")

@@ -2,15 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gaugeline.plans.config import COMPARISON_CONTRACT
 
 
 def set_digest(rows: DataFrame, group: list[str], column: str) -> DataFrame:
-    """For each group the SHA-256 of its sorted distinct values as a JSON list."""
-    return rows.groupBy(*group).agg(F.sha2(F.to_json(F.array_sort(F.collect_set(column))), 256).alias("digest"))
+    """For each group the SHA-256 of its sorted distinct values as a JSON list of texts.
+
+    Sorted rows stream through the hash, so no list of a group is held, however large it is."""
+    schema = StructType([*rows.select(*group).schema.fields, StructField("digest", StringType())])
+    to = to_arrow_schema(schema)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, so_far = None, None
+        for batch in batches:
+            done = []
+            for *key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if so_far is not None:
+                        so_far.update(b"]")
+                        done.append((*now, so_far.hexdigest()))
+                    now, so_far = key, hashlib.sha256(b"[")
+                    so_far.update(value.encode())
+                else:
+                    so_far.update(b"," + value.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], f.type) for k, f in enumerate(to)], schema=to)
+        if so_far is not None:
+            so_far.update(b"]")
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*now, so_far.hexdigest()), to, strict=True)], schema=to)
+
+    quoted = F.regexp_extract(F.to_json(F.array(F.col("__value").cast("string"))), r"(?s)^\[(.*)\]$", 1)
+    one_each = rows.where(F.col(column).isNotNull()).select(*group, F.col(column).alias("__value")).distinct()
+    dealt = one_each.repartition(*group).sortWithinPartitions(*group, F.col("__value").cast("string")).select(*group, quoted.alias("__quoted"))
+    return dealt.mapInArrow(digests, schema)
 
 
 def row_digests(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -49,12 +81,12 @@ def pass_gate(sessions: DataFrame, rounds: DataFrame, evidence: DataFrame) -> Da
 def apply_review(outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
     """Reviewed outcomes (run_id, video_id, candidate, ...) with people's decisions (approved, artist_id); an approval needs an entity."""
     d = decisions.select("run_id", "video_id", "approved", F.col("artist_id").alias("__artist"))
-    named = F.when(F.col("approved") & F.col("__artist").isNull(), F.raise_error(F.lit("an approval without an entity")).cast("string")).when(F.col("approved"), F.col("__artist"))
+    named = F.when(F.col("approved") & (F.coalesce(F.trim("__artist"), F.lit("")) == ""), F.raise_error(F.lit("an approval without an entity")).cast("string")).when(F.col("approved"), F.col("__artist"))
     return outcomes.join(d, ["run_id", "video_id"]).select(
-        "run_id", "video_id", F.lit("human").alias("method"), "candidate",
+        "run_id", "video_id", F.lit("human_override").alias("method"), "candidate",
         F.when(F.col("approved"), "accepted").otherwise("rejected").alias("decision"),
         F.when(F.col("approved"), F.col("candidate")).alias("final_name"),
-        F.when(F.col("approved"), "review_approved").otherwise("review_rejected").alias("reason_code"),
+        F.when(F.col("approved"), "human_approved").otherwise("human_rejected").alias("reason_code"),
         named.alias("artist_id"),
     )
 

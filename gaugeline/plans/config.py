@@ -18,6 +18,9 @@ MANIFEST_FORMAT = "sg8-compute-manifest-v1"
 COMPARISON_CONTRACT = "sg8-pass-v1"
 
 
+# The bodies that are hashed below, and the manifest, are fixed values too: their keys and texts make the identities.
+
+
 def canonical_json(value: Any) -> str:
     """Sorted keys, no white space, non-ASCII and nulls kept."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scoring as S
 from gaugeline.functions import text as X
 from gaugeline.operators import channels as C
-from gaugeline.operators import funnel, gates, replay
+from gaugeline.operators import exact, funnel, gates, replay
 from gaugeline.operators import report as R
 from gaugeline.operators import resolution as N
 from gaugeline.operators import scoring as SC
@@ -18,6 +18,7 @@ from gaugeline.plans import adapter as A
 from gaugeline.plans import report as plan
 from gaugeline.plans.config import COMPARISON_CONTRACT, OPPORTUNITY_VERSION, PIPELINE_VERSION, RESOLVER_VERSION, RUBRIC_VERSION, RULE_VERSION, FilterRule, ReportRules, Rubric
 from gaugeline.sources import raw
+from gaugeline.streaming import quota
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -348,9 +349,14 @@ def funnel_first_intents(spark: SparkSession, d: str) -> DataFrame:
     return funnel.first_intents(events_of(spark, d))
 
 
-@query("funnel_due_followups", EV + f", f AS ({FIRST}) SELECT *, created_at + INTERVAL 10 DAY AS due_at FROM f WHERE created_at + INTERVAL 10 DAY <= TIMESTAMP '2024-01-20 00:00:00'")
+#: Some follow-ups were sent or answered already.
+FOLLOWUP = "CASE event_id % 4 WHEN 1 THEN 'sent' WHEN 2 THEN 'responded' ELSE 'pending' END"
+
+
+@query("funnel_due_followups", EV + f", f AS ({FIRST}) SELECT *, created_at + INTERVAL 10 DAY AS due_at, 'pending' AS status FROM f WHERE created_at + INTERVAL 10 DAY <= TIMESTAMP '2024-01-20 00:00:00' AND event_id % 4 NOT IN (1, 2)")
 def funnel_due_followups(spark: SparkSession, d: str) -> DataFrame:
-    return funnel.due_followups(funnel.first_intents(events_of(spark, d)), "2024-01-20 00:00:00")
+    f = funnel.scheduled_followups(funnel.first_intents(events_of(spark, d)))
+    return funnel.due_followups(f.withColumn("status", F.expr(FOLLOWUP)), "2024-01-20 00:00:00")
 
 
 @query("funnel_latest_wtp", EV + "SELECT producer_id, event_id, event_type = 'wtp_yes' AS would_pay FROM ev WHERE event_type IN ('wtp_yes', 'wtp_no') QUALIFY row_number() OVER (PARTITION BY producer_id ORDER BY created_at DESC, event_id DESC) = 1")
@@ -408,8 +414,15 @@ def token_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "quota_ledger",
-    f"""WITH c AS ({A.duck(CHARGES)}), t AS (SELECT *, sum(units) OVER w AS total, coalesce(sum(CASE WHEN is_retry THEN units END) OVER w, 0) AS surplus FROM c
-  WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT run_id, seq, units, is_retry, total::BIGINT AS total, surplus::BIGINT AS surplus, total <= 2000 AND surplus <= 500 AS accepted FROM t""",
+    f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM ({A.duck(CHARGES)}) AS a),
+w AS (
+  SELECT DISTINCT run_id, NULL::BIGINT AS seq, 0 AS units, false AS is_retry, 0::BIGINT AS n, 0::BIGINT AS total, 0::BIGINT AS surplus, false AS accepted FROM c
+  UNION ALL
+  SELECT c.run_id, c.seq, c.units, c.is_retry, c.n, w.total + CASE WHEN w.total + c.units <= 2000 AND (NOT c.is_retry OR w.surplus + c.units <= 500) THEN c.units ELSE 0 END,
+    w.surplus + CASE WHEN c.is_retry AND w.total + c.units <= 2000 AND w.surplus + c.units <= 500 THEN c.units ELSE 0 END,
+    w.total + c.units <= 2000 AND (NOT c.is_retry OR w.surplus + c.units <= 500)
+  FROM w JOIN c ON c.run_id = w.run_id AND c.n = w.n + 1)
+SELECT run_id, seq, units, is_retry, total, surplus, accepted FROM w WHERE n > 0""",
 )
 def quota_ledger(spark: SparkSession, d: str) -> DataFrame:
     return raw.quota_ledger(A.relation(spark, d, CHARGES))
@@ -429,20 +442,24 @@ def run_states(spark: SparkSession, d: str) -> DataFrame:
 @query("project_videos", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT run_id, video_id, channel_id, source_title, views, likes, comments, published_at FROM v")
 def project_videos(spark: SparkSession, d: str) -> DataFrame:
     """P1 and P3 on bodies made of the videos: what was null is an absent key."""
+    return raw.project_videos(videos_of(spark, d).select("run_id", video_body().alias("body")))
+
+
+def video_body() -> Column:
+    """A body as it is landed, made of a video's columns."""
     text = lambda c: F.col(c).cast("string")
-    body = F.to_json(
+    return F.to_json(
         F.struct(
-            F.lit("video").alias("kind"), F.col("video_id").alias("id"), F.struct(F.col("channel_id").alias("channelId"), F.col("source_title").alias("title"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt")).alias("snippet"),
+            F.lit(raw.VIDEO_KIND).alias("kind"), F.col("video_id").alias("id"), F.struct(F.col("channel_id").alias("channelId"), F.col("source_title").alias("title"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt")).alias("snippet"),
             F.struct(text("views").alias("viewCount"), text("likes").alias("likeCount"), text("comments").alias("commentCount")).alias("statistics"),
         )
     )
-    return raw.project_videos(videos_of(spark, d).select("run_id", body.alias("body")))
 
 
 @query("project_channels", f"WITH c AS ({A.duck(A.CHANNELS)}) SELECT channel_id, title, subscriber_count, NULL::BIGINT AS view_count, 0::BIGINT AS upload_count FROM c")
 def project_channels(spark: SparkSession, d: str) -> DataFrame:
     c = A.relation(spark, d, A.CHANNELS)
-    body = F.to_json(F.struct(F.lit("channel").alias("kind"), F.col("channel_id").alias("id"), F.struct("title").alias("snippet"), F.struct(F.lit("0").alias("videoCount"), F.col("subscriber_count").cast("string").alias("subscriberCount")).alias("statistics")))
+    body = F.to_json(F.struct(F.lit(raw.CHANNEL_KIND).alias("kind"), F.col("channel_id").alias("id"), F.struct("title").alias("snippet"), F.struct(F.lit("0").alias("videoCount"), F.col("subscriber_count").cast("string").alias("subscriberCount")).alias("statistics")))
     return raw.project_channels(c.select(body.alias("body")))
 
 
@@ -472,14 +489,18 @@ def new_rows(spark: SparkSession, d: str) -> DataFrame:
     return raw.new_rows(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("k")), nation, ["k"])
 
 
+RETURNED = "SELECT concat('v', CAST(CASE WHEN l_partkey % 5 = 0 THEN -l_suppkey ELSE l_partkey END AS STRING)) AS video_id FROM {lineitem}"
+
+
 @query(
     "returned_ids",
-    """WITH q AS (SELECT DISTINCT 'v' || p_partkey AS video_id FROM part WHERE p_partkey % 3 <> 0), r AS (SELECT 'v' || l_partkey AS video_id, count(*) AS n FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 <> 0 GROUP BY 1)
+    f"""WITH q AS (SELECT DISTINCT 'v' || p_partkey AS video_id FROM part), r AS (SELECT video_id, count(*) AS n FROM ({A.duck(RETURNED)}) AS a GROUP BY 1)
 SELECT coalesce(q.video_id, r.video_id) AS video_id, CASE WHEN n IS NULL THEN 'missing' WHEN q.video_id IS NULL THEN 'extra' ELSE 'duplicate' END AS fault FROM q FULL JOIN r USING (video_id) WHERE n IS NULL OR q.video_id IS NULL OR n > 1""",
 )
 def returned_ids(spark: SparkSession, d: str) -> DataFrame:
-    asked = A.relation(spark, d, "SELECT DISTINCT concat('v', CAST(p_partkey AS STRING)) AS video_id FROM {part} WHERE p_partkey % 3 <> 0")
-    return raw.returned_ids(asked, A.relation(spark, d, "SELECT concat('v', CAST(l_partkey AS STRING)) AS video_id FROM {lineitem} WHERE l_linenumber = 1 AND l_partkey % 5 <> 0"))
+    """U4: some of the ids that come back are others than those asked for."""
+    asked = A.relation(spark, d, "SELECT DISTINCT concat('v', CAST(p_partkey AS STRING)) AS video_id FROM {part}")
+    return raw.returned_ids(asked, A.relation(spark, d, RETURNED))
 
 
 @query(
@@ -514,17 +535,17 @@ def gate_blanks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "gate_set_difference",
-    """(SELECT c_custkey AS k, 'left' AS side FROM customer EXCEPT SELECT o_custkey, 'left' FROM orders WHERE o_totalprice > 100000)
-UNION ALL (SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_totalprice > 100000 AND o_custkey NOT IN (SELECT c_custkey FROM customer))""",
+    """(SELECT c_custkey AS k, 'left' AS side FROM customer EXCEPT SELECT CASE WHEN o_totalprice > 100000 THEN o_custkey ELSE -o_custkey END, 'left' FROM orders)
+UNION ALL (SELECT CASE WHEN o_totalprice > 100000 THEN o_custkey ELSE -o_custkey END, 'right' FROM orders EXCEPT SELECT c_custkey, 'right' FROM customer)""",
 )
 def gate_set_difference(spark: SparkSession, d: str) -> DataFrame:
-    rich = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 100000").select(F.col("o_custkey").alias("k"))
+    rich = A.relation(spark, d, "SELECT CASE WHEN o_totalprice > 100000 THEN o_custkey ELSE -o_custkey END AS k FROM {orders}")
     return gates.set_difference(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k")), rich, ["k"])
 
 
-@query("gate_orphans", "SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+@query("gate_orphans", "SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey NOT IN (SELECT CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -s_suppkey END FROM supplier)")
 def gate_orphans(spark: SparkSession, d: str) -> DataFrame:
-    parents = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"))
+    parents = A.relation(spark, d, "SELECT CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -s_suppkey END AS k FROM {supplier}")
     return gates.orphans(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("k")), parents, ["k"])
 
 
@@ -536,9 +557,14 @@ def gate_missing_channels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gate_projection", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT video_id FROM v WHERE views IS DISTINCT FROM coalesce(views, 0) OR likes IS DISTINCT FROM coalesce(likes, 0)")
 def gate_projection(spark: SparkSession, d: str) -> DataFrame:
-    """A projection that took null for 0 is found."""
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return gates.unequal(videos_of(spark, d), [(F.col("views"), zero("views")), (F.col("likes"), zero("likes"))]).select("video_id")
+    """Rows that took null for 0 are found by the bodies that they were projected from."""
+    landed = videos_of(spark, d).withColumn("body", video_body())
+    taken = landed.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("views", "likes")})
+    paths = {
+        "video_id": ("id", "string"), "channel_id": ("snippet.channelId", "string"), "source_title": ("snippet.title", "string"),
+        "views": ("statistics.viewCount", "bigint"), "likes": ("statistics.likeCount", "bigint"), "comments": ("statistics.commentCount", "bigint"),
+    }
+    return gates.unlike_body(taken, "body", raw.VIDEO_KIND, paths).select("video_id")
 
 
 @query("gate_future", f"WITH v AS ({A.duck(A.VIDEOS)}) SELECT video_id FROM v WHERE published_at > window_end - INTERVAL 20 DAY")
@@ -554,14 +580,21 @@ def gate_run_identity(spark: SparkSession, d: str) -> DataFrame:
     return gates.run_identity(A.relation(spark, d, RUNS)).select("run")
 
 
+#: The second page of every third run leads to none.
+BROKEN_PAGES = """
+SELECT CAST(conv_id AS STRING) AS run_id, CAST(turn AS INT) AS page, CASE WHEN turn > 0 THEN concat('t', CAST(turn AS STRING)) END AS page_token,
+  concat('t', CAST(CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN -1 ELSE turn + 1 END AS STRING)) AS next_token FROM {conversations}
+"""
+
+
 @query(
     "gate_unvisited_pages",
-    f"""WITH RECURSIVE p AS (SELECT * FROM ({A.duck(PAGES)}) WHERE page <> 2), w AS (SELECT run_id, page_token, next_token, 1 AS step FROM p WHERE page_token IS NULL
+    f"""WITH RECURSIVE p AS ({A.duck(BROKEN_PAGES)}), w AS (SELECT run_id, page_token, next_token, 1 AS step FROM p WHERE page_token IS NULL
   UNION ALL SELECT p.run_id, p.page_token, p.next_token, w.step + 1 FROM w JOIN p ON p.run_id = w.run_id AND p.page_token = w.next_token WHERE w.step < 100)
 SELECT run_id, page_token FROM p WHERE (run_id, coalesce(page_token, '')) NOT IN (SELECT run_id, coalesce(page_token, '') FROM w)""",
 )
 def gate_unvisited_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = A.relation(spark, d, PAGES).where("page <> 2")
+    pages = A.relation(spark, d, BROKEN_PAGES)
     return gates.unvisited_pages(pages, raw.token_chain(spark, pages, raw.PAGE_CEILING))
 
 
@@ -608,12 +641,12 @@ def gate_transitions(spark: SparkSession, d: str) -> DataFrame:
     return gates.bad_transitions(o, gates.REPORT_STATES).select("o_orderkey")
 
 
-@query("gate_locked_rows", "SELECT DISTINCT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('F', 'P') AND o_orderkey % 100 = 0)")
+@query("gate_locked_rows", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'P'))")
 def gate_locked_rows(spark: SparkSession, d: str) -> DataFrame:
-    """C9, J7."""
-    reports = A.relation(spark, d, "SELECT o_orderkey AS report_id, CASE WHEN o_orderstatus = 'F' THEN 'published' WHEN o_orderstatus = 'P' THEN 'archived' ELSE 'draft' END AS status FROM {orders} WHERE o_orderkey % 100 = 0")
-    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("report_id"), F.col("l_suppkey").alias("s_suppkey"))
-    return gates.locked_by_reports(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey"), items, reports, ["s_suppkey"])
+    """Orders are reports, and their customers' numbers what they refer to."""
+    reports = A.relation(spark, d, "SELECT o_orderkey AS report_id, CASE WHEN o_orderstatus = 'F' THEN 'published' WHEN o_orderstatus = 'P' THEN 'archived' ELSE 'draft' END AS status FROM {orders}")
+    items = A.relation(spark, d, "SELECT o_orderkey AS report_id, o_custkey AS l_partkey FROM {orders}")
+    return gates.locked_by_reports(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey"), items, reports, ["l_partkey"])
 
 
 # ---- replay ----------------------------------------------------------------------------------------------------------
@@ -628,7 +661,7 @@ def set_digests(spark: SparkSession, d: str) -> DataFrame:
 
 EVIDENCE = """
 SELECT CAST(o_custkey AS STRING) AS session_id, CAST(1 + o_orderkey % 2 AS INT) AS round, concat('r', CAST((o_orderkey - o_orderkey % 2) % 4 AS STRING)) AS report_id,
-  CAST(CASE WHEN o_custkey % 3 = 0 THEN o_orderkey ELSE o_custkey END AS STRING) AS digest FROM {orders} WHERE o_orderpriority = '1-URGENT'
+  CAST(CASE WHEN o_custkey % 3 = 0 OR o_orderpriority = '1-URGENT' THEN o_orderkey ELSE o_custkey END AS STRING) AS digest FROM {orders}
 """
 ONE_EACH = "SELECT session_id, round, report_id, min(digest) AS digest FROM ({e}) AS e GROUP BY session_id, round, report_id"
 PAIRS = f"""WITH e AS ({ONE_EACH.format(e=A.duck(EVIDENCE))}), pairs AS (
@@ -681,8 +714,8 @@ def missing_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "reviewed_outcomes",
-    BASE + """SELECT run_id, video_id, 'human' AS method, CASE WHEN right(video_id, 1) IN ('0', '2', '4', '6', '8') THEN 'accepted' ELSE 'rejected' END AS decision,
-  CASE WHEN right(video_id, 1) IN ('0', '2', '4', '6', '8') THEN 'review_approved' ELSE 'review_rejected' END AS reason_code,
+    BASE + """SELECT run_id, video_id, 'human_override' AS method, CASE WHEN right(video_id, 1) IN ('0', '2', '4', '6', '8') THEN 'accepted' ELSE 'rejected' END AS decision,
+  CASE WHEN right(video_id, 1) IN ('0', '2', '4', '6', '8') THEN 'human_approved' ELSE 'human_rejected' END AS reason_code,
   CASE WHEN right(video_id, 1) IN ('0', '2', '4', '6', '8') THEN 'artist-11' END AS artist_id FROM tried WHERE rule_reason = 'artist_alias_collision'""",
 )
 def reviewed_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -706,13 +739,128 @@ def replayed_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return N.resolve(r.videos, r.names, facts=facts, normalize=X.normalize_ascii).select("run_id", "video_id", "decision", "artist_id", "replayed")
 
 
+SPENT = "SELECT CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_type = 'view' THEN 100 ELSE 1 END AS units FROM {events}"
+
+
 @query(
     "quota_alerts",
     """WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, CASE WHEN event_type = 'view' THEN 100 ELSE 1 END AS units FROM events) SELECT h AS window_start, sum(units)::BIGINT AS units FROM c GROUP BY h HAVING sum(units) >= 150""",
 )
 def quota_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the streaming alert, on hours."""
-    from gaugeline.streaming.quota import alerts
+    return quota.alerts(A.relation(spark, d, SPENT), window="1 hour", slide=None, at_least=150).select(F.col("window.start").alias("window_start"), "units")
+
+
+@query(
+    "quota_alerts_rolling",
+    """WITH c AS (SELECT date_trunc('minute', ts) - to_minutes(unnest(range(30))) AS w, CASE WHEN event_type = 'view' THEN 100 ELSE 1 END AS units FROM events)
+SELECT w AS window_start, w + INTERVAL 30 MINUTE AS window_end, sum(units)::BIGINT AS units FROM c GROUP BY w HAVING sum(units) >= 200""",
+)
+def quota_alerts_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """The alert as it is meant: 30 minutes, looked at every minute; the bar is one that these charges reach."""
+    return quota.alerts(A.relation(spark, d, SPENT), at_least=200).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "units")
+
+
+# ---- further operators ------------------------------------------------------------------------------------------------
+
+BRAND = "regexp_extract(source_title, '^Brand#[0-9]+', 0)"
+
+
+@query(
+    "pending_reuse",
+    BASE + f"""SELECT run_id, video_id, 'llm_assisted' AS method, {BRAND} AS candidate, 'review_required' AS decision,
+  CASE WHEN views IS NULL THEN 'pending_resolver_version_conflict' ELSE 'pending_candidate_reused' END AS reason_code, true AS needs_review, true AS replayed
+FROM tried WHERE rule_reason = 'regex_multiple_artists' AND {BRAND} <> ''""",
+)
+def pending_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """Titles with several names wait for a review already, some of them of an older resolver."""
+    r = relations(spark, d)
+    tried = N.attempts(r.videos, N.judge_titles(r.videos, N.name_index(r.names, X.normalize_ascii), X.normalize_ascii)).where("rule_reason = 'regex_multiple_artists'")
+    waiting = tried.select("run_id", "video_id", F.expr(BRAND).alias("proposed_name"), F.lit("llm_assisted").alias("method"), F.when(F.col("views").isNull(), "older").otherwise(RESOLVER_VERSION).alias("resolver_version")).where("proposed_name <> ''")
+    found = plan.stages(r, pending=waiting, normalize=X.normalize_ascii).outcomes.where("replayed")
+    return found.select("run_id", "video_id", "method", "candidate", "decision", "reason_code", "needs_review", "replayed")
+
+
+@query(
+    "model_candidates",
+    BASE + f""", o AS (SELECT *, CASE WHEN {BRAND} <> '' THEN 1 WHEN source_title LIKE '[FREE]%' THEN 2 ELSE 3 END AS kind FROM tried
+  WHERE rule_reason NOT IN ('regex_autoaccepted', 'candidate_outside_source_title', 'source_title_missing'))
+SELECT run_id, video_id, CASE WHEN kind = 1 THEN {BRAND} END AS candidate, CASE WHEN kind = 1 THEN 'review_required' ELSE 'rejected' END AS decision,
+  CASE kind WHEN 1 THEN rule_reason || ':llm_candidate_pending' WHEN 2 THEN 'llm_no_single_candidate' ELSE 'llm_call_failed' END AS reason_code, kind = 1 AS needs_review FROM o""",
+)
+def model_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """C4: a made-up model names the brand that a title begins with, finds none in some titles, and fails on others."""
+
+    def model(title: Column) -> Column:
+        brand = F.regexp_extract(title, "^Brand#[0-9]+", 0)
+        return F.when(brand != "", F.to_json(F.struct(brand.alias("candidate")))).when(title.startswith("[FREE]"), '{"candidate": null}')
+
+    found = plan.stages(relations(spark, d), normalize=X.normalize_ascii, extract=model).outcomes.where("method = 'llm_assisted'")
+    return found.select("run_id", "video_id", "candidate", "decision", "reason_code", "needs_review")
+
+
+@query("exact_scores", BASE + "SELECT run_id, rank, artist_id, final_score FROM ranked")
+def exact_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The digest tier's scores and ranks, of 50-digit decimals."""
+    s = stages_of(spark, d)
+    return exact.scores(exact.artists(s.eligible.drop("window_end"), s.relations.runs)).select("run_id", "rank", "artist_id", "final_score")
+
+
+@query("gate_session_transitions", "SELECT o_orderkey FROM orders WHERE NOT ((o_custkey % 7 = o_orderkey % 6 + 1 AND o_custkey % 7 < 6) OR (o_custkey % 7 = 6 AND o_orderkey % 6 < 5))")
+def gate_session_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """C11."""
+    states = F.array(*map(F.lit, (*gates.SESSION_STATES, "failed")))
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", states[(F.col("o_orderkey") % 6).cast("int")].alias("old"), states[(F.col("o_custkey") % 7).cast("int")].alias("new"))
+    return gates.bad_transitions(o, gates.session_transitions()).select("o_orderkey")
+
+
+@query(
+    "gate_handshake",
+    """WITH a AS (SELECT l_orderkey, l_partkey AS p, count(*) AS n FROM lineitem GROUP BY ALL),
+b AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN -1 ELSE l_partkey END AS p, count(*) AS n FROM lineitem GROUP BY ALL),
+c AS (SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS l, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS r FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.p = b.p)
+SELECT l_orderkey, sum(l)::BIGINT AS only_left, sum(r)::BIGINT AS only_right FROM c GROUP BY 1 HAVING sum(l) > 0 OR sum(r) > 0""",
+)
+def gate_handshake(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of one stage against those of the next, some of which became others."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p"))
+    changed = rows.withColumn("p", F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0), F.lit(-1)).otherwise(F.col("p")))
+    return gates.handshake(rows, changed, ["l_orderkey"], "p")
+
+
+@query(
+    "structural_digests",
+    """WITH d AS (SELECT l_suppkey, sha256(l_orderkey::VARCHAR || chr(31) || l_linenumber::VARCHAR || chr(31) || coalesce(l_returnflag, chr(0))) AS d FROM lineitem),
+s AS (SELECT l_suppkey, count(*) AS n, sum(('0x' || substr(d, 1, 12))::BIGINT) AS a, sum(('0x' || substr(d, 13, 12))::BIGINT) AS b, sum(('0x' || substr(d, 25, 12))::BIGINT) AS c, sum(('0x' || substr(d, 37, 12))::BIGINT) AS e FROM d GROUP BY 1)
+SELECT l_suppkey, n, sha256(n::VARCHAR || ':' || a::VARCHAR || ':' || b::VARCHAR || ':' || c::VARCHAR || ':' || e::VARCHAR) AS digest FROM s""",
+)
+def structural_digests(spark: SparkSession, d: str) -> DataFrame:
+    """A17."""
+    return replay.row_digests(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_returnflag"])
+
+
+# The identities that configurations must have.
+@query(
+    "config_hashes",
+    """SELECT * FROM (VALUES ('rule', 'channel-filter-v1', '7a1e3c76c4bd6b666939f0b1c84e257ea77e9d05c26dcfd2164e2f74cedeaea7'),
+  ('rubric', 'score_rubric_2026_06_v1', 'f0c465fbf790d1ca445e62ca13b58312bdb31c1b99a3caaf7b0be3eef083ca54'),
+  ('opportunity', 'opportunity-rules-2026_06_v1', 'ce7c7c1ad5d400ff6dcf9822e436db0def9cde75ffa555568acc0219b1fba52f')) AS t(name, version, hash)""",
+)
+def config_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """SHA-256 over canonical JSON."""
+    parts = {"rule": FilterRule(), "rubric": Rubric(), "opportunity": ReportRules()}
+    return spark.createDataFrame([(n, c.version, c.hash) for n, c in parts.items()], "name string, version string, hash string")
+
+
+@query("admins", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def admins(spark: SparkSession, d: str) -> DataFrame:
+    """Some rights are revoked."""
+    rights = A.relation(spark, d, "SELECT s_suppkey AS user_id, CASE WHEN s_acctbal > 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' END AS revoked_at FROM {supplier}")
+    return gates.is_admin(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id")), rights)
+
 
-    e = A.relation(spark, d, "SELECT CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_type = 'view' THEN 100 ELSE 1 END AS units FROM {events}")
-    return alerts(e, window="1 hour", slide=None, at_least=150).select(F.col("window.start").alias("window_start"), "units")
+@query("run_windows", "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 30 DAY, '%Y-%m-%dT%H:%M:%SZ') AS published_after, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS published_before FROM orders")
+def run_windows(spark: SparkSession, d: str) -> DataFrame:
+    """F22, F23."""
+    o = A.relation(spark, d, "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS now FROM {orders}").withColumn("w", raw.window_bounds(F.col("now")))
+    return o.select("o_orderkey", raw.rfc3339(F.col("w.window_start")).alias("published_after"), raw.rfc3339(F.col("w.window_end")).alias("published_before"))

@@ -1,5 +1,8 @@
 """A two-round replay session (C10): resolve, review, freeze, compute, compute again from what was frozen, compare.
 
+A session that has nothing to review goes through the state of awaiting a review too, so every step is one that the
+table's gate allows. Freezing what still waits, or a second round that isn't one, fails it for good.
+
 The driver holds the state only; outcomes, facts, snapshots and digests are tables, written once."""
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ class ReplaySession:
     engine_name: str = "gaugeline"
     state: str = gates.SESSION_STATES[0]
     digests: list[tuple[str, int, str, str]] = field(default_factory=list)
+    reviewed: DataFrame | None = None
 
     def _go(self, *to: str) -> None:
         for state in to:
@@ -39,6 +43,10 @@ class ReplaySession:
                 raise SessionError(f"no step from {self.state} to {state}")
             self.state = state
 
+    def _in(self, *states: str) -> None:
+        if self.state not in states:
+            raise SessionError(f"not in {self.state}")
+
     def _table(self, name: str) -> str:
         return f"{self.folder}/{self.session_id}/{name}"
 
@@ -52,31 +60,40 @@ class ReplaySession:
         """The outcomes of round 1; gives those that wait for people."""
         outcomes = N.resolve(self.relations.videos, self.relations.names)
         self.outcomes = replay.freeze(outcomes, self._table("outcomes"))
-        self._go("r1_resolved")
-        return self.outcomes.where("needs_review")
+        waiting = self.outcomes.where("needs_review")
+        self._go("r1_awaiting_review")
+        if waiting.isEmpty():
+            self._go("r1_resolved")
+        return waiting
 
     def review(self, decisions: DataFrame) -> None:
-        """people's decisions on all that waits; nothing may be left out."""
-        waiting = self.outcomes.where("needs_review")
-        gates.assert_empty(waiting.select("run_id", "video_id").join(decisions.select("run_id", "video_id"), ["run_id", "video_id"], "left_anti"), "every waiting title is decided")
-        self.reviewed = replay.apply_review(waiting, decisions)
-        self._go("r1_reviewed")
+        """people's decisions on all that waits; nothing may be left out, or decided that doesn't wait."""
+        self._in("r1_awaiting_review")
+        waiting, key = self.outcomes.where("needs_review"), ["run_id", "video_id"]
+        gates.assert_empty(decisions.select(*key).join(waiting.select(*key), key, "left_anti"), "only what waits is decided")
+        gates.assert_empty(waiting.select(*key).join(decisions.select(*key), key, "left_anti"), "every waiting title is decided")
+        self.reviewed = replay.freeze(replay.apply_review(waiting, decisions), self._table("reviewed"))
+        self._go("r1_resolved")
 
     def freeze(self) -> None:
-        """The facts that round 2 replays. Without anything to review, review may be skipped."""
+        """The facts that round 2 replays."""
         names = ["run_id", "video_id", "method", "candidate", "decision", "final_name", "reason_code", "artist_id"]
-        settled = self.outcomes.where("NOT needs_review").select(*names)
-        if self.state == "r1_resolved":
-            gates.assert_empty(self.outcomes.where("needs_review").select("run_id", "video_id"), "nothing waits")
-            facts = settled
-        else:
-            facts = settled.unionByName(self.reviewed.select(*names))
+        if self.state == "r1_awaiting_review":
+            self._go("failed")
+            raise SessionError("titles still wait for a review")
+        self._in("r1_resolved")
+        facts = self.outcomes.where("NOT needs_review").select(*names)
+        if self.reviewed is not None:
+            facts = facts.unionByName(self.reviewed.select(*names))
         self.facts = replay.freeze(facts, self._table("facts"))
-        self._go("r1_frozen")
+        self._go("r1_snapshot_frozen")
 
     def compute(self) -> dict[str, str]:
         """A round: each report from the frozen input and facts, its digest kept as evidence."""
-        n = 1 if self.state == "r1_frozen" else 2
+        self._in("r1_snapshot_frozen", "r1_computed")
+        n = 1 if self.state == "r1_snapshot_frozen" else 2
+        if n == 2 and any(d[1] == 2 for d in self.digests):
+            raise SessionError("round 2 is computed once")
         if n == 2:
             gates.assert_empty(replay.missing_facts(self.relations.videos, self.facts), "round 2 has every fact")
         outcomes = N.resolve(self.relations.videos, self.relations.names, facts=self.facts)
@@ -91,13 +108,15 @@ class ReplaySession:
             end: datetime = ends[run_id].replace(tzinfo=UTC)
             out[report_id] = exact.report_digest(exact.canonical_report(run_id, end, per_artist, scored, self.relations.artists))
             self.digests.append((self.session_id, n, report_id, out[report_id]))
-        self._go("r1_computed" if n == 1 else "r2_computed")
+        if n == 1:
+            self._go("r1_computed")
         return out
 
     def verdict(self, snapshot_hash: str = "") -> list[str]:
         """What keeps the session from passing; it has passed if the list is empty, and failed otherwise."""
-        if self.state != "r2_computed":
-            raise SessionError(f"no verdict in {self.state}")
+        self._in("r1_computed")
+        if not any(d[1] == 2 for d in self.digests):
+            raise SessionError("no verdict before round 2")
         spark, sid = self.spark, self.session_id
         sessions = spark.createDataFrame([(sid, COMPARISON_CONTRACT)], "session_id string, contract string")
         rounds = spark.createDataFrame([(sid, n, self.source_run_id, snapshot_hash, PIPELINE_VERSION, manifest_hash(self.engine_name)) for n in (1, 2)], "session_id string, round int, source_run_id string, snapshot_hash string, engine_version string, manifest_hash string")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from gaugeline.tables import written
 
-# Keys of a transport that a body must not carry, and the collection's limits.
+# Keys of a transport that a body must not carry, kinds of bodies, and the collection's limits.
+VIDEO_KIND, CHANNEL_KIND = "youtube#video", "youtube#channel"
 TRANSPORT_KEYS = ("config", "request", "headers", "authorization", "key")
 TARGET_VIDEOS, BATCH, HARD_CAP, SURPLUS_CAP, PAGE_CEILING = 500, 50, 2000, 500, 100
 VIDEO_SCHEMA = "struct<kind:string,id:string,snippet:struct<channelId:string,title:string,publishedAt:string>,statistics:struct<viewCount:string,likeCount:string,commentCount:string>>"
@@ -32,11 +39,27 @@ def carries_transport(body: Column) -> Column:
     return F.coalesce(F.arrays_overlap(F.json_object_keys(body), F.array(*map(F.lit, TRANSPORT_KEYS))), F.lit(False))
 
 
+def checked(body: Column, kind: str, texts: tuple[str, ...]) -> Column:
+    """A body that may be projected, or an error: it has the kind, no transport keys (P4), and text at the paths if anything."""
+    field = lambda path: F.variant_get(F.try_parse_json(body), f"$.{path}", "variant")
+    strange = F.lit(False)
+    for path in texts:
+        said = F.schema_of_variant(field(path))
+        strange = strange | F.coalesce(~said.isin("STRING", "VOID"), F.lit(False))
+    no = lambda why: F.raise_error(F.lit(why)).cast("string")
+    return (
+        F.when(carries_transport(body), no("the body carries transport keys"))
+        .when(~F.get_json_object(body, "$.kind").eqNullSafe(F.lit(kind)), no(f"the body isn't a {kind}"))
+        .when(strange, no("a text of the body isn't text"))
+        .otherwise(body)
+    )
+
+
 def project_videos(bodies: DataFrame) -> DataFrame:
-    """P1."""
-    v = F.from_json("body", VIDEO_SCHEMA)
+    """P1. Bodies of another kind, with transport keys, or with ids, titles or times that aren't text raise."""
     kept = [c for c in bodies.columns if c != "body"]
-    return bodies.withColumn("__v", v).select(
+    good = bodies.withColumn("__body", checked(F.col("body"), VIDEO_KIND, ("id", "snippet.channelId", "snippet.title", "snippet.publishedAt")))
+    return good.withColumn("__v", F.from_json("__body", VIDEO_SCHEMA)).select(
         *kept,
         required(F.col("__v.id"), "id").alias("video_id"),
         required(F.col("__v.snippet.channelId"), "channelId").alias("channel_id"),
@@ -49,9 +72,10 @@ def project_videos(bodies: DataFrame) -> DataFrame:
 
 
 def project_channels(bodies: DataFrame) -> DataFrame:
-    """P2."""
+    """P2, as fail-closed as P1."""
     kept = [c for c in bodies.columns if c != "body"]
-    return bodies.withColumn("__c", F.from_json("body", CHANNEL_SCHEMA)).select(
+    good = bodies.withColumn("__body", checked(F.col("body"), CHANNEL_KIND, ("id", "snippet.title")))
+    return good.withColumn("__c", F.from_json("__body", CHANNEL_SCHEMA)).select(
         *kept,
         required(F.col("__c.id"), "id").alias("channel_id"),
         F.col("__c.snippet.title").alias("title"),
@@ -67,8 +91,8 @@ def page_items(pages: DataFrame) -> DataFrame:
 
 
 def first_unique(items: DataFrame, most: int = TARGET_VIDEOS) -> DataFrame:
-    """Ids by their first place, up to ``most`` a run; the first place is a plain aggregate, the cap a ranked window."""
-    first = items.where("video_id IS NOT NULL").groupBy("run_id", "video_id").agg(F.min(F.struct("page", "item")).alias("at"))
+    """Ids that aren't empty by their first place, up to ``most`` a run; the first place is a plain aggregate, the cap a ranked window."""
+    first = items.where("video_id <> ''").groupBy("run_id", "video_id").agg(F.min(F.struct("page", "item")).alias("at"))
     order = Window.partitionBy("run_id").orderBy("at", "video_id")
     return first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most).select("run_id", "video_id", "position")
 
@@ -79,28 +103,65 @@ def batches(ids: DataFrame, size: int = BATCH) -> DataFrame:
 
 
 def token_chain(spark: SparkSession, pages: DataFrame, most: int = 1000) -> DataFrame:
-    """The walk along next tokens from each run's first page: run_id, page_token, step."""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(run_id, page_token, next_token, step) AS (
-          SELECT run_id, page_token, next_token, 1 FROM {{pages}} WHERE page_token IS NULL
-          UNION ALL
-          SELECT p.run_id, p.page_token, p.next_token, w.step + 1
-          FROM walk w JOIN {{pages}} p ON p.run_id = w.run_id AND p.page_token = w.next_token
-          WHERE w.step < {most})
-        SELECT run_id, page_token, step FROM walk""",
-        pages=pages,
-    )
+    """The walk along next tokens from each run's first page: run_id, page_token, step, of ``most`` steps at most.
 
+    Pointer jumping: each round doubles the hops that are known, and is written, so a chain of 1,000 pages takes ten
+    rounds and no recursion. A token that leads back is walked again until ``most``."""
+    known = written(pages.select("run_id", "page_token", "next_token"), "pages")
+    reached = known.where("page_token IS NULL").select("run_id", "page_token", "next_token", F.lit(1).alias("step"))
+    by_token = known.where("page_token IS NOT NULL").select("run_id", F.col("page_token").alias("at"), F.col("page_token").alias("end"), F.col("next_token").alias("after"))
+    hops, length, done = by_token, 1, 1
+    while done < most:
+        # From every page reached so far, ``length`` hops on; hops: at, and the page ``length - 1`` hops after it.
+        far = reached.where(F.col("step") + length <= most).join(hops.withColumnRenamed("at", "next_token"), ["run_id", "next_token"]).select("run_id", F.col("end").alias("page_token"), F.col("after").alias("next_token"), (F.col("step") + length).alias("step"))
+        if (far := written(far, "far")).isEmpty():
+            break
+        reached, done, length = written(reached.union(far), "reached"), done + length, 2 * length
+        on = hops.select("run_id", F.col("at").alias("after"), F.col("end").alias("end2"), F.col("after").alias("after2"))
+        hops = written(hops.join(on, ["run_id", "after"]).select("run_id", "at", F.col("end2").alias("end"), F.col("after2").alias("after")), "hops")
+    return reached.select("run_id", "page_token", "step")
 
-def quota_ledger(charges: DataFrame, cap: int = HARD_CAP, surplus_cap: int = SURPLUS_CAP) -> DataFrame:
-    """Charges (run_id, seq, units, is_retry) with what was spent before and whether the charge is accepted.
 
-    A charge counts before it is spent. Prices are positive, so once a running total passes a cap so do later ones."""
-    upto = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return charges.select(
-        "*", F.sum("units").over(upto).alias("total"), F.coalesce(F.sum(F.when(F.col("is_retry"), F.col("units"))).over(upto), F.lit(0)).alias("surplus")
-    ).withColumn("accepted", (F.col("total") <= cap) & (F.col("surplus") <= surplus_cap))
+LEDGER = "total long, surplus long, accepted boolean"
+
+
+def quota_ledger(charges: DataFrame, cap: int = HARD_CAP, surplus_cap: int = SURPLUS_CAP) -> DataFrame:
+    """Charges (run_id, seq, units, is_retry) in order, each with whether it is accepted and what is spent after it.
+
+    A charge is judged before it is spent: a retry by the surplus, all by the total. A refused one changes neither, so
+    later ones are judged by what was really spent. That is a fold over a run in order: rows stream through it, sorted
+    by run and seq, and only two numbers are held."""
+    names = charges.columns
+    at = {c: names.index(c) for c in ("run_id", "units", "is_retry")}
+    schema = StructType([*charges.schema.fields, *StructType.fromDDL(LEDGER).fields])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, surplus = None, 0, 0
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for run, units, retry in zip(*(batch.column(at[c]).to_pylist() for c in ("run_id", "units", "is_retry")), strict=True):
+                if run != now:
+                    now, total, surplus = run, 0, 0
+                good = total + units <= cap and not (retry and surplus + units > surplus_cap)
+                if good:
+                    total += units
+                    surplus += units if retry else 0
+                for column, value in zip(out, (total, surplus, good), strict=True):
+                    column.append(value)
+            new = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "total", "surplus", "accepted"])
+
+    return charges.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInArrow(fold, schema)
+
+
+def window_bounds(now: Column, days: int = 30) -> Column:
+    """(window_start, window_end) of a run that begins ``now``; the clock is the caller's."""
+    return F.struct((now - F.expr(f"INTERVAL {days} DAYS")).alias("window_start"), now.alias("window_end"))
+
+
+def rfc3339(at: Column) -> Column:
+    """an instant in UTC, to the second; the session's time zone is UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def write_run(rows: DataFrame, path: str) -> None:

@@ -30,6 +30,17 @@ def test_a_session_passes(spark, tmp_path):
         s.compute()
 
 
+def test_freezing_what_waits_fails(spark, tmp_path):
+    s = opened(spark, tmp_path, [(*GOLDEN[0][:1], "amb", *GOLDEN[0][2:3], "Free Kairo Vee Type Beat", *GOLDEN[0][4:])])
+    s.resolve()
+    assert s.state == "r1_awaiting_review"
+    with pytest.raises(SessionError):
+        s.freeze()
+    assert s.state == "failed"
+    with pytest.raises(SessionError):
+        s.freeze()
+
+
 def test_drift_fails_and_steps_have_an_order(spark, tmp_path):
     s = opened(spark, tmp_path, GOLDEN[:4])
     with pytest.raises(SessionError):

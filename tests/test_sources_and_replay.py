@@ -16,7 +16,7 @@ def bodies(spark, *values):
 
 
 def video(**stats):
-    return {"kind": "video", "id": "v", "snippet": {"channelId": "c", "title": "t", "publishedAt": "2026-06-01T00:00:00Z"}, "statistics": stats}
+    return {"kind": "youtube#video", "id": "v", "snippet": {"channelId": "c", "title": "t", "publishedAt": "2026-06-01T00:00:00Z"}, "statistics": stats}
 
 
 def test_projection_keeps_null_from_zero(spark):
@@ -24,12 +24,27 @@ def test_projection_keeps_null_from_zero(spark):
     assert [(x.views, x.likes, x.comments) for x in got] == [(None, 12, None), (0, None, None)]
 
 
-@pytest.mark.parametrize("body", [video(viewCount="many"), {"id": "v", "snippet": {}}, {"snippet": {"channelId": "c"}}])
+def but(**changed):
+    return {**video(), **changed}
+
+
+@pytest.mark.parametrize("body", [video(viewCount="many"), but(snippet={}), but(id=None), but(id=5), but(kind="video"), but(kind=None), but(headers={}), but(snippet={"channelId": "c", "title": 5}), but(snippet={"channelId": "c", "publishedAt": 7})])
 def test_projection_fails_closed(spark, body):
     with pytest.raises(Exception):  # noqa: B017
         raw.project_videos(bodies(spark, body)).collect()
 
 
+@pytest.mark.parametrize("changed", [{}, {"kind": "youtube#video"}, {"key": "k"}, {"snippet": {"title": ["x"]}}, {"id": ""}])
+def test_channel_projection_fails_closed(spark, changed):
+    whole = {"kind": "youtube#channel", "id": "c", "snippet": {"title": None}, "statistics": {"videoCount": "0"}}
+    rows = raw.project_channels(bodies(spark, {**whole, **changed}))
+    if changed:
+        with pytest.raises(Exception):  # noqa: B017
+            rows.collect()
+    else:
+        assert rows.first().asDict() == {"run_id": "r", "channel_id": "c", "title": None, "subscriber_count": None, "view_count": None, "upload_count": 0}
+
+
 def test_transport_keys(spark):
     got = bodies(spark, {"key": 1}, {"items": [{"key": 1}]}, {"config": None}).select(raw.carries_transport(F.col("body")).alias("x")).collect()
     assert [x.x for x in got] == [True, False, True]
@@ -55,6 +70,40 @@ def test_pagination(spark):
     assert [x.video_id for x in raw.first_unique(items, 2).orderBy("position").collect()] == ["b", "a"]
 
 
+def test_long_chain(spark):
+    """999 pages of one run, and a token that leads back."""
+    pages = [("r", f"t{k}" if k else None, f"t{k + 1}" if k < 998 else None) for k in range(999)] + [("back", None, "x"), ("back", "x", "x")]
+    walk = raw.token_chain(spark, spark.createDataFrame(pages, "run_id string, page_token string, next_token string").repartition(2), 1000)
+    steps = [(x.run_id, x.page_token, x.step) for x in walk.collect()]
+    assert sorted(s for r, _, s in steps if r == "r") == list(range(1, 1000)) and ("r", "t700", 701) in steps
+    assert sorted(s for r, _, s in steps if r == "back") == list(range(1, 1001))
+
+
+def test_refused_charges_spend_nothing(spark):
+    """Later charges are judged by what was really spent, and a refused retry doesn't stop what isn't one."""
+    rows = [("r", 1, 1950, False), ("r", 2, 100, False), ("r", 3, 1, False), ("s", 1, 500, True), ("s", 2, 1, True), ("s", 3, 1500, False), ("s", 4, 1, False)]
+    got = raw.quota_ledger(spark.createDataFrame(rows[::-1], "run_id string, seq int, units int, is_retry boolean")).orderBy("run_id", "seq").collect()
+    assert [(x.accepted, x.total, x.surplus) for x in got] == [(True, 1950, 0), (False, 1950, 0), (True, 1951, 0), (True, 500, 500), (False, 500, 500), (True, 2000, 500), (False, 2000, 500)]
+
+
+def test_handshake_and_bodies(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", None)], "k string, v int")
+    assert gates.handshake(rows, rows, ["k"], "v").where("k <> 'c'").count() == 0
+    assert [tuple(r) for r in gates.handshake(rows.where("k < 'c'"), rows.where("k < 'c'").distinct(), ["k"], "v").collect()] == [("a", 1, 0)]
+    landed = bodies(spark, video(viewCount="3"), video()).withColumn("views", F.lit(3).cast("long"))
+    assert gates.unlike_body(landed, "body", raw.VIDEO_KIND, {"views": ("statistics.viewCount", "bigint")}).count() == 1
+
+
+def test_set_digests_stream(spark):
+    import hashlib
+
+    rows = [("g", f"v{k % 700}") for k in range(2000)] + [("h", 'q"\\'), ("h", None), ("i", "é")]
+    got = {r.k: r.digest for r in replay.set_digest(spark.createDataFrame(rows, "k string, v string").repartition(3), ["k"], "v").collect()}
+    for key in "ghi":
+        values = sorted({v for k, v in rows if k == key and v is not None})
+        assert got[key] == hashlib.sha256(json.dumps(values, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def test_ledger(spark):
     charges = spark.createDataFrame([("r", 1, 1500, False), ("r", 2, 400, True), ("r", 3, 90, True), ("r", 4, 50, False)], "run_id string, seq int, units int, is_retry boolean")
     assert [x.accepted for x in raw.quota_ledger(charges).orderBy("seq").collect()] == [True, True, True, False]
@@ -100,6 +149,7 @@ def test_transitions(spark):
     assert {(x.old, x.new) for x in gates.bad_transitions(changes, gates.REPORT_STATES).collect()} == {("published", "draft"), (None, "published"), ("archived", "archived")}
     steps = gates.session_transitions()
     assert (gates.SESSION_STATES[1], "failed") in steps and ("failed", gates.SESSION_STATES[0]) not in steps
+    assert ("session_open", "r1_resolved") not in steps and ("r1_resolved", "r1_snapshot_frozen") in steps and ("r1_computed", "passed") in steps
 
 
 def test_streams(spark, tmp_path):
