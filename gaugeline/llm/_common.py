@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.tables import drop_tables, shared_dir, written
+
+__all__ = ["ROWS", "SPACES", "WORD", "drop_tables", "map_columns", "read_table", "row_key", "shared_dir", "tokenizer_path", "written"]
+
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -51,35 +52,3 @@ def row_key(df: DataFrame) -> Column:
         c = df[f"`{field.name}`"]
         parts += [c.isNull(), F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() else c]
     return F.xxhash64(*parts)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which the driver and all executors share. Where that is unset, a
-    temporary folder is set if they are one process; on a cluster its disks aren't shared, so that is an error."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            base = f"file://{tempfile.mkdtemp(prefix='gaugeline-')}"
-            spark.sparkContext.setCheckpointDir(base)
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/gaugeline-{uuid.uuid4().hex}"
-
-
-def drop_tables(df: DataFrame) -> None:
-    """Removes the intermediate tables in the shared folder that df is read from; df can't be read after that."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f[: f.index("/", at)] for f in df.inputFiles() if (at := f.find("/gaugeline-") + 1)}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: this cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
