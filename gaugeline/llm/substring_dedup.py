@@ -58,9 +58,10 @@ class Pieces:
     def __init__(self, words: list[bytes], window: int = WINDOW, gram: int = GRAM):
         n = len(words)
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-        power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)], dtype=np.uint64)
+        self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)], dtype=np.uint64)[:-1]
+        self.others: np.ndarray | None = None
         self.back = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)], dtype=np.uint64)
-        self.sums = np.r_[np.uint64(0), np.cumsum(self.hashes * power[:-1], dtype=np.uint64)]
+        self.sums = np.r_[np.uint64(0), np.cumsum(self.hashes * self.power, dtype=np.uint64)]
         grams = self.span(np.arange(n - gram + 1), gram)
         span = window - gram + 1
         anchor = np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1)
@@ -75,12 +76,10 @@ class Pieces:
         return _mixed((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64))
 
     def other(self, start: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of runs of words that don't depend on those of span()."""
-        own = _mixed(self.hashes ^ _BASE)
-        out = np.full(len(start), length, np.uint64)
-        for k in range(length):
-            out = _mixed(out + own[start + k])
-        return out
+        """Hashes of runs of words that don't depend on those of span(); their sums are made once a text, if at all."""
+        if self.others is None:
+            self.others = np.r_[np.uint64(0), np.cumsum(_mixed(self.hashes ^ _BASE) * self.power, dtype=np.uint64)]
+        return _mixed((self.others[start + length] - self.others[start]) * self.back[start] + np.uint64(length))
 
     def words(self, k: int) -> np.ndarray:
         return self.hashes[self.first[k] : self.first[k] + self.windows[k] + self.window - 1]
