@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. Its result is written as Parquet, and the
 next stage reads that. All but the last return the columns of documents.
+
+Defined results: a null or empty text has no words, so the first stage rejects it; later stages, by themselves, keep
+null texts as they are, mix them as of size 0, which no pass takes, and encode them as empty. Repeated rows go on as one
+after near-duplicates. Empty tables give empty tables, and without usable labels only the base rule rejects. Extra
+columns are kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
