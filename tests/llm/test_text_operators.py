@@ -153,6 +153,20 @@ def test_trees_find_what_they_never_saw(spark, model):
     assert len(false) <= 0.02 * len(truth)
 
 
+def test_trees_in_sql_are_the_trees(spark, model):
+    """On made-up features, those of the thresholds themselves among them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    trees, _ = model
+    r = np.random.default_rng(3)
+    cuts = [t.threshold for t in trees.trees if t.left is not None]
+    x = np.where(r.random((300, 14)) < 0.3, r.choice(cuts, (300, 14)), r.uniform(0, 45, (300, 14)))
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, x array<double>")
+    got = [v.m for v in rows.select("i", F.expr(trees.sql("x")).alias("m")).orderBy("i").collect()]
+    assert got == pytest.approx(trees.margin(x).tolist(), abs=1e-9)
+
+
 def test_redaction(spark, model):
     text = "mail a@b.cd, card 4111 1111 1111 1111 \U0001f642 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" end"
     frame = spark.createDataFrame([(1, text, "k"), (2, None, "k"), (3, "clean", "k")], "doc_id long, text string, kind string")
