@@ -4,7 +4,7 @@ The base rules (e-mail, IP, card and phone patterns with their checks) always ho
 high recall propose spans, overlapping ones too: grouped or joined card numbers, local phone numbers,
 spelt-out addresses, IPv6, social security numbers and secrets. Boosted trees over the form of a candidate
 and the words before it give each a score; thresholds for each kind, calibrated on held-out rows, choose.
-The trees are trained when a query is built, on a fixed number of made-up sentences (``TRAINING_ROWS``).
+The trees are trained once per process, on a fixed number of made-up sentences (``TRAINING_ROWS``).
 
 Spans are code points, the end exclusive. Patterns use possessive repeats and look-behind instead of
 backtracking, so that a run of any length costs linear time and no stack.
@@ -179,8 +179,19 @@ def made_up(rows: int, seed: int = 7) -> list[tuple[int, str, int, int, int]]:
     return out
 
 
+_trained: dict[tuple[int, float], tuple[boosting.Boosted, list[float]]] = {}
+
+
 def train(spark: SparkSession, *, rows: int = TRAINING_ROWS, precision: float = 0.97) -> tuple[boosting.Boosted, list[float]]:
-    """The trees, fitted on two thirds of the made-up sentences, and each kind's threshold, calibrated on the rest."""
+    """The trees, fitted on two thirds of the made-up sentences, and each kind's threshold, calibrated on the rest.
+
+    The same numbers give the same trees, which are kept for the next call."""
+    if (rows, precision) not in _trained:
+        _trained[rows, precision] = _fit(spark, rows, precision)
+    return _trained[rows, precision]
+
+
+def _fit(spark: SparkSession, rows: int, precision: float) -> tuple[boosting.Boosted, list[float]]:
     truth = made_up(rows)
     frame = spark.createDataFrame([(k, t) for k, t, *_ in truth], "k int, text string")
     got = frame.select("k", F.explode(candidates(F.col("text"), "text")).alias("c")).select("k", "c.*").collect()
