@@ -48,8 +48,8 @@ GENERATORS = {
     "secret": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}", r"rlike({t}, '[0-9][A-Za-z0-9_-]{{7}}')"),
 }
 BEFORE = 40  # characters before a candidate that are looked at
-# Words before a candidate that tell something: secrets, telephones, numbers of persons, cards; and what isn't personal.
-WORDS = (r"token|secret|passw|api.?key|apikey|auth|credential|bearer|private", r"call|phone|tel|mobile|fax|contact|cell", r"ssn|social|security", r"card|visa|credit|debit|payment", r"commit|sha|md5|hash|digest|checksum|order|invoice|isbn|version|serial|part|sku|tracking|uuid|build|id\b|no\.|ref")
+# Words before a candidate that tell something: secrets, telephones, numbers of persons, cards; and, as whole words, what isn't personal.
+WORDS = (r"token|secret|passw|api.?key|apikey|auth|credential|bearer|private", r"call|phone|tel|mobile|fax|contact|cell", r"ssn|social|security", r"card|visa|credit|debit|payment", r"(?<![a-z])(?:commit|sha|md5|hash|digest|checksum|order|invoice|isbn|version|serial|part|sku|tracking|uuid|build|id|no\.|ref|reference)(?![a-z])")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -189,3 +189,15 @@ def test_licenses(odd, none):
     assert scanner.scan(None) == (0, 0, 0, [])
     assert licenses.scan_licenses(odd, scanner).count() == odd.count()
     assert licenses.scan_licenses(none, scanner).count() == 0
+
+
+def test_planted_secrets_and_cards_are_found(spark, model):
+    """Recall and precision of added spans on the documents, whose planted rows no training sentence comes from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: {s for s in r.spans.split(",") if s.startswith("secret")} for r in pii.find(docs, *model).collect()}
+    planted = {(i, f"secret:{m.start(1)}:{m.end(1)}") for i, t in text.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    added = {(i, s) for i, spans in got.items() for s in spans}
+    assert len(planted) > 5
+    assert len(planted & added) >= 0.9 * len(planted)
+    assert len(planted & added) >= 0.9 * len(added)
