@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bsi_topk, mixing, warc
+from gaugeline.llm import bsi_topk, centroids, conversation_trie, mixing, warc
 from gaugeline.llm._common import read_table
 
 
@@ -68,6 +68,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.piece_codec import digests
+
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bsi_topk": op1_bsi_topk,
     "op2_quality_rules": op2_quality_rules,
@@ -79,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_piece_codec": op12_piece_codec,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: DuckDB SQL with the same rows and columns, where SQL can express the query.
@@ -86,4 +103,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_bsi_topk": bsi_topk.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op13_conversation_trie": conversation_trie.ORACLE,
 }
