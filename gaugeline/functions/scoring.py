@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gaugeline.errors import FutureVideo, refuse
 from gaugeline.plans.config import ReportRules, Rubric
 
 RUBRIC, RULES = Rubric(), ReportRules()
@@ -17,7 +18,7 @@ URL = "https://www.youtube.com/watch?v="
 def age_days(published: Column, window_end: Column) -> Column:
     """exact microseconds over a day; a video from after the window raises."""
     micros = F.unix_micros(window_end) - F.unix_micros(published)
-    return F.when(micros < 0, F.raise_error(F.lit("published after the window's end")).cast("double")).otherwise(micros / F.lit(float(DAY)))
+    return F.when(micros < 0, refuse(FutureVideo, "published after the window's end").cast("double")).otherwise(micros / F.lit(float(DAY)))
 
 
 def effective_age(age: Column, rubric: Rubric = RUBRIC) -> Column:

@@ -7,14 +7,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
-from datetime import UTC, datetime
+from collections.abc import Callable, Iterable, Iterator
+from datetime import UTC, date, datetime
 from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Context, Decimal, localcontext
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from gaugeline.errors import FutureVideo, refuse
 from gaugeline.plans.config import PIPELINE_VERSION, RESOLVER_VERSION, FilterRule, ReportRules, Rubric, canonical_json
 
 # The keys and texts of the evidence and the report are part of the golden digest.
@@ -88,7 +92,7 @@ def artists(eligible: DataFrame, runs: DataFrame, rubric: Rubric | None = None,
     """One row for each artist of a run, numbers as strings."""
     rubric, rules = rubric or Rubric(), rules or ReportRules()
     end, at = F.unix_micros("window_end"), F.unix_micros("published_at")
-    age = F.when(at > end, F.raise_error(F.lit("published after the window's end")).cast("long")).otherwise(end - at)
+    age = F.when(at > end, refuse(FutureVideo, "published after the window's end").cast("long")).otherwise(end - at)
     # Counts go as strings: pandas would make floats of longs with nulls.
     narrow = eligible.join(runs.select("run_id", "window_end"), "run_id").select("run_id", "artist_id", "video_id", "channel_id", *(F.col(c).cast("string") for c in ("views", "likes", "comments")), at.alias("at_micros"), age.alias("age_micros"))
 
@@ -137,30 +141,125 @@ def shown_velocity(value: Decimal | None, rubric: Rubric) -> str | None:
         return f"{value.quantize(ONE, rounding=ROUND_HALF_UP)}/day"
 
 
+def versions_of(rule: FilterRule, rubric: Rubric, rules: ReportRules) -> dict[str, str]:
+    return {"resolver_version": RESOLVER_VERSION, "rule_version": rule.version, "rule_hash": rule.hash, "rubric_version": rubric.version, "rubric_hash": rubric.hash, "opportunity_version": rules.version, "opportunity_hash": rules.hash}
+
+
+def report_row(r: dict, versions: dict[str, str], rubric: Rubric, rules: ReportRules) -> dict:
+    """A shown artist as the report has it. r: the columns of ARTIST and SCORE, and canonical_name."""
+    level = "Low" if r["competition"] <= rules.low_channels else "Medium" if r["competition"] <= rules.high_channels else "High"
+    with localcontext(frame(rubric)):
+        growth = Decimal(r["recent"] - r["prior"]) / Decimal(r["prior"]) if r["prior"] else None
+    fired = growth is not None and growth > rules.growth_above
+    competition = {"count": r["competition"], "base_level": level, "level": "High" if fired else level, "recent_7d": r["recent"], "prior_7d": r["prior"], "growth_7d": text(growth), "growth_triggered": fired, "prior_zero_rule": "no-trigger"}
+    made = {k: versions[k] for k in ("opportunity_version", "opportunity_hash", "rubric_version", "rubric_hash")}
+    return {
+        "run_id": r["run_id"], "rank": r["rank"], "artist_id": r["artist_id"], "title": f"{r['canonical_name']} Type Beat", "tag": "HOT" if r["final_score"] > rules.hot_above and r["rank"] <= rules.hot_most else None,
+        "score_display": f"{r['final_score']}/100", "score_value": r["final_score"], "signals": r["signals"], "velocity_display": shown_velocity(Decimal(r["velocity"]) if r["velocity"] is not None else None, rubric),
+        "competition_level": competition["level"], "competition_channel_count": r["competition"], "example_video_id": r["example"], "example_url": f"https://www.youtube.com/watch?v={r['example']}",
+        "selection_reason_json": {**json.loads(r["reason"]), "versions": made, "competition": competition}, **versions,
+    }
+
+
+def report_body(run_id: str, window_end: datetime, versions: dict[str, str], rows: list[dict], *, insufficient: bool) -> dict:
+    return {"run_id": run_id, "window_end": window_end.isoformat(), "pipeline_version": PIPELINE_VERSION, "insufficient_opportunity": insufficient, "provenance": versions, "rows": rows}
+
+
+def shown_artists(per_artist: DataFrame, scored: DataFrame, names: DataFrame, rules: ReportRules) -> DataFrame:
+    """The artists that reports show, at most a few a run, with all that is said of them. Ranks follow the score, so the gate keeps the first ones."""
+    top = scored.where((F.col("final_score") >= rules.shown_from) & (F.col("rank") <= rules.items_most)).select("run_id", "artist_id", "final_score", "rank")
+    return top.join(per_artist, ["run_id", "artist_id"]).join(names.select("artist_id", "canonical_name"), "artist_id")
+
+
 def canonical_report(run_id: str, window_end: datetime, per_artist: DataFrame, scored: DataFrame, names: DataFrame, *, rule: FilterRule | None = None, rubric: Rubric | None = None, rules: ReportRules | None = None) -> dict:
-    """One run's report with all that made it; at most the shown rows are collected."""
+    """One run's report with all that made it; at most the shown rows are collected. canonical_reports() is for many."""
     rule, rubric, rules = rule or FilterRule(), rubric or Rubric(), rules or ReportRules()
-    versions = {"resolver_version": RESOLVER_VERSION, "rule_version": rule.version, "rule_hash": rule.hash, "rubric_version": rubric.version, "rubric_hash": rubric.hash, "opportunity_version": rules.version, "opportunity_hash": rules.hash}
-    top = scored.where((F.col("run_id") == run_id) & (F.col("final_score") >= rules.shown_from)).orderBy("rank").limit(rules.items_most)
-    rows = []
-    for r in top.join(per_artist, ["run_id", "artist_id"]).join(names.select("artist_id", "canonical_name"), "artist_id").orderBy("rank").collect():
-        level = "Low" if r.competition <= rules.low_channels else "Medium" if r.competition <= rules.high_channels else "High"
-        with localcontext(frame(rubric)):
-            growth = Decimal(r.recent - r.prior) / Decimal(r.prior) if r.prior else None
-        fired = growth is not None and growth > rules.growth_above
-        competition = {"count": r.competition, "base_level": level, "level": "High" if fired else level, "recent_7d": r.recent, "prior_7d": r.prior, "growth_7d": text(growth), "growth_triggered": fired, "prior_zero_rule": "no-trigger"}
-        made = {k: versions[k] for k in ("opportunity_version", "opportunity_hash", "rubric_version", "rubric_hash")}
-        rows.append(
-            {
-                "run_id": run_id, "rank": r["rank"], "artist_id": r.artist_id, "title": f"{r.canonical_name} Type Beat", "tag": "HOT" if r.final_score > rules.hot_above and r["rank"] <= rules.hot_most else None,
-                "score_display": f"{r.final_score}/100", "score_value": r.final_score, "signals": r.signals, "velocity_display": shown_velocity(Decimal(r.velocity) if r.velocity is not None else None, rubric),
-                "competition_level": competition["level"], "competition_channel_count": r.competition, "example_video_id": r.example, "example_url": f"https://www.youtube.com/watch?v={r.example}",
-                "selection_reason_json": {**json.loads(r.reason), "versions": made, "competition": competition}, **versions,
-            }
-        )
-    return {"run_id": run_id, "window_end": window_end.isoformat(), "pipeline_version": PIPELINE_VERSION, "insufficient_opportunity": not rows, "provenance": versions, "rows": rows}
+    versions = versions_of(rule, rubric, rules)
+    shown = shown_artists(per_artist, scored, names, rules).where(F.col("run_id") == run_id).orderBy("rank").collect()
+    rows = [report_row(r.asDict(), versions, rubric, rules) for r in shown]
+    return report_body(run_id, window_end, versions, rows, insufficient=not rows)
 
 
 def report_digest(report: dict) -> str:
     """F20, F21."""
     return hashlib.sha256(canonical_json(report).encode("utf-8")).hexdigest()
+
+
+def plain(value: object) -> object:
+    """A value as canonical JSON has it: numbers with many digits and times are texts."""
+    if isinstance(value, Decimal):
+        return str(value)
+    if isinstance(value, datetime | date):
+        return value.isoformat()
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    return [plain(v) for v in value] if isinstance(value, list) else value
+
+
+def hashed(rows: DataFrame, key: list[str], frame_of: Callable[[dict], tuple[str, str]], row_of: Callable[[dict], dict | str | None], *, plain_text: bool = False) -> DataFrame:
+    """F20, F21 on the executors: for each key n (rows), bytes and digest of a canonical JSON text that is never whole.
+
+    rows come sorted, a key's together. frame_of gives what stands before and after the rows of a key, from its first one;
+    row_of gives a row's object, or None for a row that only says that its key is there; with plain_text it gives the text itself.
+    One row is held at a time."""
+    schema = StructType([*rows.select(*key).schema.fields, StructField("n", LongType()), StructField("bytes", LongType()), StructField("digest", StringType())])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, after, n, size, digest = None, "", 0, 0, hashlib.sha256()
+
+        def put(part: str) -> None:
+            nonlocal size
+            coded = part.encode()
+            size += len(coded)
+            digest.update(coded)
+
+        def done() -> list[tuple]:
+            if now is None:
+                return []
+            put(after)
+            return [(*now, n, size, digest.hexdigest())]
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t.type) for k, t in enumerate(target)], schema=target)
+
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                row = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
+                at = tuple(row[c] for c in key)
+                if at != now:
+                    found += done()
+                    now, n, size, digest = at, 0, 0, hashlib.sha256()
+                    before, after = frame_of(row)
+                    put(before)
+                if (body := row_of(row)) is not None:
+                    put(("," if n else "") + (str(body) if plain_text else canonical_json(plain(body))))
+                    n += 1
+            yield batch_of(found)
+        yield batch_of(done())
+
+    return rows.mapInArrow(run, schema)
+
+
+def canonical_digests(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """For each key the number of its rows, and the bytes and digest of the canonical JSON list of them in order."""
+    return hashed(rows.repartition(*key).sortWithinPartitions(*key, *order), key, lambda _: ("[", "]"), lambda row: row)
+
+
+def canonical_reports(runs: DataFrame, per_artist: DataFrame, scored: DataFrame, names: DataFrame, *, rule: FilterRule | None = None, rubric: Rubric | None = None, rules: ReportRules | None = None) -> DataFrame:
+    """S11 of all runs in one pass: run_id, n (rows shown), bytes and digest of each run's canonical report, as canonical_report()
+    and report_digest() give them. A run that shows nothing has a report too. The evidence of one shown artist, all of whose
+    candidates are part of the report, is the most that a task holds."""
+    rule, rubric, rules = rule or FilterRule(), rubric or Rubric(), rules or ReportRules()
+    versions = versions_of(rule, rubric, rules)
+    ends = runs.select("run_id", F.unix_micros("window_end").alias("end_micros"))
+    rows = ends.join(shown_artists(per_artist, scored, names, rules), "run_id", "left")
+
+    def frame_of(r: dict) -> tuple[str, str]:
+        end = datetime.fromtimestamp(r["end_micros"] // 1_000_000, UTC).replace(microsecond=r["end_micros"] % 1_000_000)
+        whole = canonical_json(report_body(r["run_id"], end, versions, [], insufficient=r["rank"] is None))
+        before, mark, after = whole.partition('"rows":[]')
+        return before + mark[:-1], "]" + after
+
+    return hashed(rows.repartition("run_id").sortWithinPartitions("run_id", "rank"), ["run_id"], frame_of, lambda r: None if r["rank"] is None else report_row(r, versions, rubric, rules))

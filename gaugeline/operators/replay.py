@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from gaugeline.errors import NotNullViolation, refuse
 from gaugeline.plans.config import COMPARISON_CONTRACT
 
 
@@ -81,7 +82,7 @@ def pass_gate(sessions: DataFrame, rounds: DataFrame, evidence: DataFrame) -> Da
 def apply_review(outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
     """Reviewed outcomes (run_id, video_id, candidate, ...) with people's decisions (approved, artist_id); an approval needs an entity."""
     d = decisions.select("run_id", "video_id", "approved", F.col("artist_id").alias("__artist"))
-    named = F.when(F.col("approved") & (F.coalesce(F.trim("__artist"), F.lit("")) == ""), F.raise_error(F.lit("an approval without an entity")).cast("string")).when(F.col("approved"), F.col("__artist"))
+    named = F.when(F.col("approved") & (F.coalesce(F.trim("__artist"), F.lit("")) == ""), refuse(NotNullViolation, "an approval without an entity", video_id=F.col("video_id"))).when(F.col("approved"), F.col("__artist"))
     return outcomes.join(d, ["run_id", "video_id"]).select(
         "run_id", "video_id", F.lit("human_override").alias("method"), "candidate",
         F.when(F.col("approved"), "accepted").otherwise("rejected").alias("decision"),

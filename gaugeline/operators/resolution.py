@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.errors import OutsideTitle, refuse
 from gaugeline.functions import text as X
+from gaugeline.functions.strict import strict
 from gaugeline.plans.config import RESOLVER_VERSION
 
 
@@ -46,10 +48,21 @@ def judge_titles(titles: DataFrame, index: DataFrame, normalize: Callable[[Colum
     )
 
 
+SPREAD = 1024
+
+
 def attempts(videos: DataFrame, judged: DataFrame) -> DataFrame:
-    """videos with what is said of their titles."""
-    said = judged.withColumnRenamed("source_title", "__title")
-    return videos.join(said, videos["source_title"].eqNullSafe(said["__title"])).drop("__title")
+    """videos with what is said of their titles.
+
+    A null title is missing by itself and looks nothing up: such videos take one of many keys that match nothing, so they
+    don't meet in one task. A title that many videos share is split by the engine's skew handling, as this is one plain
+    equi-join. A title that wasn't judged raises."""
+    said = judged.where("source_title IS NOT NULL").select(F.concat(F.lit("t"), "source_title").alias("__title"), *(c for c in judged.columns if c != "source_title"))
+    none = F.col("source_title").isNull()
+    alone = F.concat(F.lit("n"), F.pmod(F.xxhash64("run_id", "video_id"), F.lit(SPREAD)).cast("string"))
+    missing = F.when(none, "source_title_missing").otherwise(refuse(OutsideTitle, "a title wasn't judged", title=F.col("source_title")))
+    keyed = videos.withColumn("__title", F.when(none, alone).otherwise(F.concat(F.lit("t"), "source_title")))
+    return keyed.join(said, "__title", "left").withColumn("rule_reason", F.coalesce("rule_reason", missing)).drop("__title")
 
 
 def resolve(videos: DataFrame, names: DataFrame, *, facts: DataFrame | None = None, pending: DataFrame | None = None, normalize: Callable[[Column], Column] = X.normalize, carry: list[str] | None = None, judged: DataFrame | None = None, extract: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -95,7 +108,7 @@ def resolve(videos: DataFrame, names: DataFrame, *, facts: DataFrame | None = No
         return F.when(blank, blank_value).when(replayed, F.col(f"fact.{fact_field}")).when(waits, wait_value).when(accepted, yes).when(outside, no).otherwise(review)
 
     stray = waits & ~blank & ~replayed & ~conflict & ~X.is_supported(normalize(F.col("wait.proposed_name")), normalize(F.col("source_title")))
-    reused = F.when(conflict, "pending_resolver_version_conflict").when(stray, F.raise_error(F.lit("a pending candidate isn't in its title")).cast("string")).otherwise("pending_candidate_reused")
+    reused = F.when(conflict, "pending_resolver_version_conflict").when(stray, refuse(OutsideTitle, "a pending candidate isn't in its title", video_id=F.col("video_id"))).otherwise("pending_candidate_reused")
     return tried.select(
         *key,
         pick(F.lit("unknown"), "method", F.col("wait.method"), F.lit("regex"), F.lit("regex"), open_method).alias("method"),
@@ -117,7 +130,10 @@ def final_mappings(outcomes: DataFrame, carry: list[str] | None = None) -> DataF
 
 
 def parse_reply(reply: Column) -> tuple[Column, Column]:
-    """(candidate, error) of a model's reply, which must be a JSON object with the one field candidate."""
-    keys = F.json_object_keys(reply)
-    good = F.coalesce((F.size(keys) == 1) & (keys[0] == "candidate"), F.lit(False)) & ~reply.rlike(r'"candidate"\s*:\s*[^"n\s]')
-    return F.when(good, F.get_json_object(reply, "$.candidate")), F.when(~good, "llm_contract_violation")
+    """(candidate, error) of a model's reply, which must be a JSON object with the one field candidate, a text or null,
+    and nothing before or after it. A reply that repeats the field is refused, as it doesn't say which one counts."""
+    whole = strict(reply)
+    kind = F.schema_of_variant(F.try_variant_get(whole, "$[0].candidate", "variant"))
+    keys = F.json_object_keys(F.when(whole.isNotNull(), reply))
+    good = F.coalesce((F.size(keys) == 1) & (keys[0] == "candidate") & kind.isin("STRING", "VOID"), F.lit(False))
+    return F.when(good, F.try_variant_get(whole, "$[0].candidate", "string")), F.when(~good, "llm_contract_violation")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +14,10 @@ from gaugeline.operators import channels as C
 from gaugeline.operators import report as R
 from gaugeline.operators import resolution as N
 from gaugeline.operators import scoring as S
+from gaugeline.errors import CheckViolation, ForeignKeyViolation, GateError, NotNullViolation, UniqueViolation
 from gaugeline.operators.gates import assert_empty, blanks, duplicates, several_values
 from gaugeline.plans.config import FilterRule, ReportRules, Rubric
-from gaugeline.tables import written
+from gaugeline.tables import drop_tables, written
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ class Stages:
     @cached_property
     def verdicts(self) -> DataFrame:
         """Raises if a mapped channel has no record (G12): without one nothing can be said of it."""
-        assert_empty(C.missing_records(self.mapped, self.relations.channels), "every channel has a record")
+        assert_empty(C.missing_records(self.mapped, self.relations.channels), "every channel has a record", ForeignKeyViolation)
         return written(C.verdicts(self.mapped, self.relations.channels, self.relations.names, rule=self.rule, overrides=self.overrides, normalize=self.normalize), "verdicts")
 
     @cached_property
@@ -77,24 +78,36 @@ class Stages:
         return S.scored(S.artist_metrics(self.measured, self.rules), self.rubric)
 
 
+    def drop(self) -> None:
+        """Removes the tables that were written for the stages asked for so far; their frames can't be read after that."""
+        for name in ("judged", "resolved", "verdicts", "scores"):
+            if name in self.__dict__:
+                drop_tables(self.__dict__.pop(name))
+
+
 def stages(r: Relations, **options) -> Stages:  # noqa: ANN003
     return Stages(r, **options)
 
 
 def check(r: Relations, videos: DataFrame | None = None) -> None:
-    """The gates before a run (G5, G13, A14): keys once and none blank, times known. Each gate is one small job.
-
-    videos: the same videos, if they are written somewhere."""
+    """The gates before a run (G5, G13, A14): keys once and none blank, times known. All gates are one job; the first broken one
+    in their order raises its class of error. videos: the same videos, if they are written somewhere."""
     own = r.videos if videos is None else videos
     blank = F.bool_or((F.coalesce(F.trim("run_id"), F.lit("")) == "") | (F.coalesce(F.trim("video_id"), F.lit("")) == "") | (F.coalesce(F.trim("channel_id"), F.lit("")) == "") | F.col("published_at").isNull())
-    assert_empty(own.groupBy("run_id", "video_id").agg(F.count("*").alias("n"), blank.alias("blank")).where("n <> 1 OR blank"), "one row a video, with its channel and time")
-    assert_empty(duplicates(r.channels, ["channel_id"]), "one row a channel")
-    if "window_end" in own.columns:
-        assert_empty(several_values(own, ["run_id"], ["window_end"]), "one window a run")
-    else:
-        assert_empty(duplicates(r.runs, ["run_id"]), "one row a run")
-    assert_empty(duplicates(r.artists, ["artist_id"]), "one row an artist")
-    assert_empty(blanks(r.artists, ["artist_id", "canonical_name"]), "every artist has a name")
+    by_video = own.groupBy("run_id", "video_id").agg(F.count("*").alias("n"), blank.alias("blank"))
+    window: tuple[str, type[GateError], DataFrame] = ("one window a run", CheckViolation, several_values(own, ["run_id"], ["window_end"])) if "window_end" in own.columns else ("one row a run", UniqueViolation, duplicates(r.runs, ["run_id"]))
+    rules: list[tuple[str, type[GateError], DataFrame]] = [
+        ("one row a video, with its channel and time", UniqueViolation, by_video.where("n <> 1")),
+        ("one row a video, with its channel and time", NotNullViolation, by_video.where("n = 1 AND blank")),
+        ("one row a channel", UniqueViolation, duplicates(r.channels, ["channel_id"])),
+        window,
+        ("one row an artist", UniqueViolation, duplicates(r.artists, ["artist_id"])),
+        ("every artist has a name", NotNullViolation, blanks(r.artists, ["artist_id", "canonical_name"])),
+    ]
+    told = reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("gate"), F.to_json(F.struct("*")).alias("row")) for k, (_, _, df) in enumerate(rules)))
+    if rows := told.groupBy("gate").agg(F.min("row").alias("row")).orderBy("gate").collect():
+        name, error, _ = rules[rows[0].gate]
+        raise error(name, row=rows[0]["row"])
 
 
 def report(r: Relations, *, rules: ReportRules | None = None, **options) -> DataFrame:  # noqa: ANN003

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gaugeline.errors import CountExpected, FieldMissing, MalformedBody, TextExpected, TransportKeys, WrongKind, refuse
+from gaugeline.functions.strict import strict
 from gaugeline.tables import written
 
 # Keys of a transport that a body must not carry, kinds of bodies, and the collection's limits.
@@ -26,12 +28,13 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def required(value: Column, name: str) -> Column:
-    return F.when(value.isNull() | (F.trim(value) == ""), F.raise_error(F.lit(f"{name} is missing")).cast("string")).otherwise(value)
+    return F.when(value.isNull() | (F.trim(value) == ""), refuse(FieldMissing, "a field is missing", field=name)).otherwise(value)
 
 
 def count_or_null(value: Column) -> Column:
     """Absent stays null, "0" is 0, junk raises."""
-    return value.cast("bigint")
+    number = value.try_cast("bigint")
+    return F.when(value.isNotNull() & number.isNull(), refuse(CountExpected, "a counter isn't a whole number", value=value).cast("bigint")).otherwise(number)
 
 
 def carries_transport(body: Column) -> Column:
@@ -40,17 +43,18 @@ def carries_transport(body: Column) -> Column:
 
 
 def checked(body: Column, kind: str, texts: tuple[str, ...]) -> Column:
-    """A body that may be projected, or an error: it has the kind, no transport keys (P4), and text at the paths if anything."""
-    field = lambda path: F.variant_get(F.try_parse_json(body), f"$.{path}", "variant")
+    """A body that may be projected, or an error: it is one JSON value and nothing else, has the kind, no transport keys (P4),
+    and text at the paths if anything. A key that an object repeats is refused with what isn't JSON."""
+    whole = strict(body)
     strange = F.lit(False)
     for path in texts:
-        said = F.schema_of_variant(field(path))
+        said = F.schema_of_variant(F.try_variant_get(whole, f"$[0].{path}", "variant"))
         strange = strange | F.coalesce(~said.isin("STRING", "VOID"), F.lit(False))
-    no = lambda why: F.raise_error(F.lit(why)).cast("string")
     return (
-        F.when(carries_transport(body), no("the body carries transport keys"))
-        .when(~F.get_json_object(body, "$.kind").eqNullSafe(F.lit(kind)), no(f"the body isn't a {kind}"))
-        .when(strange, no("a text of the body isn't text"))
+        F.when(body.isNotNull() & whole.isNull(), refuse(MalformedBody, "the body isn't one JSON value"))
+        .when(carries_transport(body), refuse(TransportKeys, "the body carries transport keys"))
+        .when(~F.get_json_object(body, "$.kind").eqNullSafe(F.lit(kind)), refuse(WrongKind, "the body is of another kind", expected=kind))
+        .when(strange, refuse(TextExpected, "a text of the body isn't text", kind=kind))
         .otherwise(body)
     )
 
@@ -102,11 +106,11 @@ def batches(ids: DataFrame, size: int = BATCH) -> DataFrame:
     return ids.withColumn("batch", F.ceil(F.col("position") / size).cast("int"))
 
 
-def token_chain(spark: SparkSession, pages: DataFrame, most: int = 1000) -> DataFrame:
-    """The walk along next tokens from each run's first page: run_id, page_token, step, of ``most`` steps at most.
+def walk_pages(spark: SparkSession, pages: DataFrame, most: int = 1000) -> DataFrame:
+    """run_id, page_token, next_token and step of the walk along next tokens from each run's first page, of ``most`` steps at most.
 
     Pointer jumping: each round doubles the hops that are known, and is written, so a chain of 1,000 pages takes ten
-    rounds and no recursion. A token that leads back is walked again until ``most``."""
+    rounds and no recursion. A token that leads back is walked again until ``most``; pages.stops() refuses it."""
     known = written(pages.select("run_id", "page_token", "next_token"), "pages")
     reached = known.where("page_token IS NULL").select("run_id", "page_token", "next_token", F.lit(1).alias("step"))
     by_token = known.where("page_token IS NOT NULL").select("run_id", F.col("page_token").alias("at"), F.col("page_token").alias("end"), F.col("next_token").alias("after"))
@@ -119,7 +123,12 @@ def token_chain(spark: SparkSession, pages: DataFrame, most: int = 1000) -> Data
         reached, done, length = written(reached.union(far), "reached"), done + length, 2 * length
         on = hops.select("run_id", F.col("at").alias("after"), F.col("end").alias("end2"), F.col("after").alias("after2"))
         hops = written(hops.join(on, ["run_id", "after"]).select("run_id", "at", F.col("end2").alias("end"), F.col("after2").alias("after")), "hops")
-    return reached.select("run_id", "page_token", "step")
+    return reached
+
+
+def token_chain(spark: SparkSession, pages: DataFrame, most: int = 1000) -> DataFrame:
+    """run_id, page_token and step of walk_pages()."""
+    return walk_pages(spark, pages, most).select("run_id", "page_token", "step")
 
 
 LEDGER = "total long, surplus long, accepted boolean"

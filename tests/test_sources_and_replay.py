@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeline.errors import BodyError, typed_errors
 from gaugeline.operators import gates, replay
 from gaugeline.sources import raw
 from gaugeline.streaming import quota
@@ -30,7 +31,7 @@ def but(**changed):
 
 @pytest.mark.parametrize("body", [video(viewCount="many"), but(snippet={}), but(id=None), but(id=5), but(kind="video"), but(kind=None), but(headers={}), but(snippet={"channelId": "c", "title": 5}), but(snippet={"channelId": "c", "publishedAt": 7})])
 def test_projection_fails_closed(spark, body):
-    with pytest.raises(Exception):  # noqa: B017
+    with pytest.raises(BodyError), typed_errors():
         raw.project_videos(bodies(spark, body)).collect()
 
 
@@ -39,7 +40,7 @@ def test_channel_projection_fails_closed(spark, changed):
     whole = {"kind": "youtube#channel", "id": "c", "snippet": {"title": None}, "statistics": {"videoCount": "0"}}
     rows = raw.project_channels(bodies(spark, {**whole, **changed}))
     if changed:
-        with pytest.raises(Exception):  # noqa: B017
+        with pytest.raises(BodyError), typed_errors():
             rows.collect()
     else:
         assert rows.first().asDict() == {"run_id": "r", "channel_id": "c", "title": None, "subscriber_count": None, "view_count": None, "upload_count": 0}
