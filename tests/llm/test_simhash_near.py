@@ -75,3 +75,40 @@ def test_stage(spark, odd, none):
     assert kept.columns == odd.columns
     assert sorted(-1 if x.doc_id is None else x.doc_id for x in kept.collect()) == brute_first([(x.doc_id, x.text) for x in odd.collect()])[1]
     assert p.near_duplicates(spark, none, "").count() == 0
+
+
+def test_texts_of_one_template_make_few_pairs(spark, monkeypatch):
+    """Texts that share a template and are no duplicates: bins are forced to split, and pairs don't grow with their square."""
+    r = random.Random(4)
+    template = [words(r, 1) + str(k) for k in range(70)]
+    texts = [" ".join([*template, *(f"own{k}x{i}" for i in range(22))]) for k in range(800)]
+    texts += [" ".join([*t.split(" ")[:-1], "end"]) for t in texts[:40]] + [t + " more" for t in texts[:40]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    made = {}
+
+    def noted(df, name="table"):
+        out = written(df, name)
+        if name in ("stars", "pairs", "tokens"):
+            made[name] = out.count()
+        return out
+
+    written = simhash_near.written
+    monkeypatch.setattr(simhash_near, "written", noted)
+    got = simhash_near.keep_first(spark.createDataFrame(rows, DOCS).repartition(3), bin_size=64)
+    assert sorted(x.doc_id for x in got.collect()) == list(range(800))
+    assert made["tokens"] < 25 * len(texts) and made["stars"] + made["pairs"] < 2 * len(texts)
+
+
+def test_leading_shingles_of_similar_sets_meet():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    common = b"\xff" * 2048 + b"\x00" * 2048
+    for _ in range(300):
+        a = np.unique(r.integers(0, 1 << 63, r.integers(1, 60)).astype(np.uint64))
+        b = a.copy()
+        for _ in range(r.integers(0, 1 + len(a) // 4)):
+            b[r.integers(len(b))] = r.integers(0, 1 << 63)
+        b = np.unique(b)
+        if simhash_near.alike(a, b):
+            assert np.intersect1d(simhash_near.leading(a, common), simhash_near.leading(b, common)).size
