@@ -3,9 +3,10 @@
 Writing uses Spark's own text writer: a record is a row, and the two line ends after it are the line
 separator, so each file is a sequence of WARC/1.1 records and a lost task's output is never half there.
 
-Reading deals the files out in byte ranges. A task looks for the record magic in its range and, for each
-place, works out from the header where the next record would begin. Magic in a payload is such a candidate
-too. Within a range the candidates are followed to where they leave it; between ranges, pointer jumping
+Reading deals the files out in byte ranges. A task looks for the record magic in its range, where it begins the
+file or follows a blank line as every record does, and, for each place, works out from the header where the next
+record would begin. Such magic in a payload is a candidate too; headers end at the next blank line, so those of
+candidates don't overlap and a range is searched once, whatever it holds. Within a range the candidates are followed to where they leave it; between ranges, pointer jumping
 from the start of each file doubles the hops each round. Only what is reached from a file's start is
 a record; a range is then walked from its one reached place.
 
@@ -150,14 +151,18 @@ class Window:
 
 def leave(path: str, start: int, end: int, size: int) -> list[tuple[int, int]]:
     """(place, where its chain leaves the range) of each candidate in bytes start to end that leads out of it."""
-    window = Window(path, start, size)
+    first = max(0, start - len(BLANK))
+    window = Window(path, first, size)
     window.need(end + len(MAGIC))
     after: dict[int, int] = {}
-    at = window.held.find(MAGIC)
-    while 0 <= at < end - start:
-        if got := window.header(start + at):
-            after[start + at] = got[2]
-        at = window.held.find(MAGIC, at + 1)
+    at = 0 if start == 0 else window.held.find(BLANK + MAGIC) + len(BLANK)
+    while (len(BLANK) <= at or start == 0) and first + at < end:
+        if got := window.header(first + at):
+            after[first + at] = got[2]
+        found = window.held.find(BLANK + MAGIC, at)
+        if found < 0:
+            break
+        at = found + len(BLANK)
     out: dict[int, int] = {}
     for place in sorted(after, reverse=True):
         goal = after[place]
@@ -246,7 +251,7 @@ b AS (
       + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT)::INT, 1)), '') AS payload_digest
   FROM d)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> largest THEN largest END AS refers_to
+  CASE WHEN page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
 FROM b
 """
