@@ -5,7 +5,7 @@ line break, and which takes texts as they are, so a text's count is the sum over
 the spaces before it, a line break, or what follows one. Both are checked when a model is loaded. The first tier
 is a broadcast table of the lengths of the pre-tokens that are frequent in a sample of some ``SAMPLE_ROWS``
 documents, which bounds it; the second is a cache in each Python worker, which asks the library for what it
-doesn't hold. What is in either makes no difference to the counts. No pre-token is shuffled, and every text is
+doesn't hold and keeps it for all tasks of a count that the worker gets. What is in either makes no difference to the counts. No pre-token is shuffled, and every text is
 read by Python once.
 
 Defined results: a null text counts as an empty one, with 0 bytes and 0 tokens. Special strings inside a
@@ -16,6 +16,7 @@ doc_id is carried. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -86,6 +87,19 @@ class Lengths(dict):
         return sum(map(self.__getitem__, pre_tokens(text)))
 
 
+_HELD: dict[str, Lengths] = {}
+
+
+def worker_lengths(name: str, model_path: str, known: dict[str, int], room: int) -> Lengths:
+    """The Lengths of a count by its name: one for each Python worker, made by its first task and kept for the next ones.
+
+    A worker keeps that of one count only."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Lengths(model_path, known, room)
+    return _HELD[name]
+
+
 def splits(library) -> bool:  # noqa: ANN001
     """Whether counting by pre-tokens is right for a model: no piece crosses a word's end or a line break, and no character is changed."""
     pieces = [library.id_to_piece(i) for i in range(library.vocab_size()) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i))]
@@ -123,10 +137,10 @@ def count_tokens(docs: DataFrame, *, model: str = MODEL, limit: int = 4096, tabl
     spark = docs.sparkSession
     tokens = frequent(docs, size=table_size)
     library = Lengths(tokenizer_path(model), {}, 0, check=True)
-    table = spark.sparkContext.broadcast({t: library.count(t) for t in tokens})
+    table, name = spark.sparkContext.broadcast({t: library.count(t) for t in tokens}), uuid.uuid4().hex
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        lengths = Lengths(tokenizer_path(model), table.value, cache_size)
+        lengths = worker_lengths(name, tokenizer_path(model), table.value, cache_size)
         for ids, texts in batches:
             yield [ids, [len((t or "").encode("utf-8", "replace")) for t in texts], n := list(map(lengths.total, texts)), [x > limit for x in n]]
 
