@@ -3,7 +3,8 @@
 A text is cut at the special strings, then into pre-tokens. The leaves of a pre-token's tree hold the
 merge ranks of its adjacent symbols; the root is the lowest rank, the leftmost of equals. Each merge
 updates at most three leaves, in logarithmic time, until the root holds no rank. So a pre-token of any
-length costs n log n. A cache in each Python worker keeps what frequent pre-tokens gave.
+length costs n log n. A cache in each Python worker keeps what short pre-tokens
+gave, so its bytes are bounded.
 
 Defined results: a null text is encoded as an empty one: no ids, an empty decoded text. Special strings in
 a text get their own ids, as the library does by default. Decoding puts U+FFFD for bytes that aren't
@@ -36,6 +37,7 @@ LATIN = re.compile("[\0-\u024f]*")
 LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
 AT_ONCE = 100_000  # pre-tokens
 ROWS = 500  # texts of a batch that are held as ids at once
+LONGEST = 64  # bytes of a pre-token that the cache keeps
 NONE = 1 << 62
 
 
@@ -187,8 +189,12 @@ class Codec(dict):
             if len(self) > self.room:
                 self.clear()
             self.update((t, [i]) for t, i in self.special.items())
-            self.learn(set().union(*some).difference(self))
+            new = set().union(*some).difference(self)
+            self.learn(new)
             out += [list(chain.from_iterable(map(self.__getitem__, s))) for s in some]
+            for word in new:
+                if 4 * len(word) > LONGEST and len(word.encode("utf-8", "replace")) > LONGEST and word not in self.special:
+                    del self[word]
         return out
 
     def encode(self, text: str | None) -> list[int]:

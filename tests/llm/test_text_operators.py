@@ -201,3 +201,36 @@ def test_planted_secrets_and_cards_are_found(spark, model):
     assert len(planted) > 5
     assert len(planted & added) >= 0.9 * len(planted)
     assert len(planted & added) >= 0.9 * len(added)
+
+
+def test_one_cache_serves_a_workers_tasks():
+    """The model is loaded once for a count, and what a task encoded the next one finds."""
+    path = tokenizer_path(token_counts.MODEL)
+    first = token_counts.worker_lengths("a", path, {"the": 1}, 50)
+    first.total("some words that are new")
+    again = token_counts.worker_lengths("a", path, {"the": 1}, 50)
+    assert again is first and "words" in again and again.library is first.library
+    assert token_counts.worker_lengths("b", path, {}, 50) is not first and len(token_counts._HELD) == 1
+
+
+def test_codec_keeps_short_pre_tokens_only():
+    own = bpe_codec.Codec(tokenizer_path(bpe_codec.VOCABULARY))
+    r = random.Random(2)
+    runs = [" ".join("".join(r.choice("abcdefgh") for _ in range(700)) for _ in range(30)) for _ in range(20)]
+    before = own.encode_all(runs)
+    assert max(len(w.encode()) for w in own) <= bpe_codec.LONGEST and len(own) < 50
+    assert own.encode_all(runs) == before and own.encode_all(["a short one"]) and " short" in own
+
+
+def test_codec_digests_are_the_librarys(spark, odd, none):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path(bpe_codec.VOCABULARY))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = Counter()
+    for r in odd.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))] += 1
+    assert Counter(map(tuple, bpe_codec.digests(odd).collect())) == want
