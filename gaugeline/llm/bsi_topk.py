@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 SCALE = 256
 LEFT_OUT = 2  # low bits of each attribute that the index leaves out
+FAR, FEW = 1024, 64  # times the usual size of a block's rows, from which a row is far out; so many of those are scored one by one
 
 
 def add_slices(slices: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
@@ -139,6 +140,29 @@ class SlicedBlock:
         return ids[order], scores[order]
 
 
+class FewRows:
+    """Rows that are scored one by one."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, whole(values).astype(object)
+
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = (self.values @ query.astype(object)).tolist()
+        order = sorted((i for i in range(len(scores)) if self.ids[i] != own), key=lambda i: (-scores[i], self.ids[i]))[:k]
+        return self.ids[order], np.array([scores[i] for i in order], object)
+
+
+def indexes(ids: np.ndarray, values: np.ndarray) -> list[SlicedBlock | FewRows]:
+    """The index of a block's rows. Rows with a component far beyond the usual ones are set apart, as their bits would give
+    every dimension of all rows as many slices."""
+    most = np.abs(values.astype(np.float64)).max(1, initial=0)
+    far = most > FAR * max(float(np.median(most)), 1 / SCALE)
+    usual = SlicedBlock(ids[~far], whole(values[~far]))
+    if not far.any():
+        return [usual]
+    return [usual, FewRows(ids[far], values[far]) if far.sum() <= FEW else SlicedBlock(ids[far], whole(values[far]))]
+
+
 def whole(values: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """floor(scale x), as 64-bit numbers where no inner product of theirs can leave 63 bits, else as Python's."""
     wide = values.astype(np.float64)
@@ -174,7 +198,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, block_rows: int =
         """Rows of one size and block come together, those of the index before those that ask."""
         now: tuple[int, int] | None = None
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        index: SlicedBlock | None = None
+        index: list[SlicedBlock | FewRows] | None = None
         for batch in batches:
             sizes, at, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             cuts = np.flatnonzero(np.r_[True, (sizes[1:] != sizes[:-1]) | (at[1:] != at[:-1]) | (asks[1:] != asks[:-1])])
@@ -188,15 +212,18 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, block_rows: int =
                     continue
                 if index is None and held:
                     joined = np.concatenate([v for _, v in held])
-                    index, held = SlicedBlock(np.concatenate([i for i, _ in held]), whole(joined)), []
+                    index, held = indexes(np.concatenate([i for i, _ in held]), joined), []
                 if index is None:
                     continue
                 # Each query is a block of its own here: one with large components mustn't slow the others.
                 for own, value in zip(ids.tolist(), values, strict=True):
                     query = whole(value)
-                    both = max(int(np.abs(query).max(initial=0)), 1) * max(abs(index.low), abs(index.high), 1) * max(1, now[0])
-                    found, scores = (index if both < 1 << 62 else index.wide()).top(query, own, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), own)), pa.array(found), pa.array(scores.tolist(), pa.int64())], ["query_id", "vec_id", "score"])
+                    found: list[tuple[int, int]] = []
+                    for part in index:
+                        wide = isinstance(part, SlicedBlock) and max(int(np.abs(query).max(initial=0)), 1) * max(abs(part.low), abs(part.high), 1) * max(1, now[0]) >= 1 << 62
+                        found += zip(*(x.tolist() for x in (part.wide() if wide else part).top(query, own, k)), strict=True)
+                    found = sorted(found, key=lambda r: (-r[1], r[0]))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.int64()), pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["query_id", "vec_id", "score"])
 
     dealt = data.unionByName(queries).repartition("size", "block").sortWithinPartitions("size", "block", "asks")
     local = dealt.mapInArrow(search, "query_id long, vec_id long, score long")

@@ -293,3 +293,23 @@ def test_warc_empty_and_damaged(spark):
         os.remove(path)
     with pytest.raises(Exception, match="isn't the one"):
         warc.read_archives(spark, folder).count()
+
+
+def test_rows_far_out_are_set_apart():
+    """One huge component leaves the other rows' index small; scores are exact all the same."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    values = r.normal(0, 0.2, (700, 16))
+    values[5, 3], values[9, 0] = 1e30, -1e12
+    ids = np.arange(700)
+    parts = bsi_topk.indexes(ids, values)
+    assert [type(x).__name__ for x in parts] == ["SlicedBlock", "FewRows"] and parts[0].bits < 12 and parts[0].values.dtype == np.int64
+    assert len(bsi_topk.indexes(ids, values * 1e25)) == 2 and len(bsi_topk.indexes(ids[:3], np.zeros((3, 16)))) == 1
+    many = values.copy()
+    many[:100] *= 1e9
+    assert [type(x).__name__ for x in bsi_topk.indexes(ids, many)] == ["SlicedBlock", "SlicedBlock"]
+    query = bsi_topk.whole(values[7])
+    found = sorted((x for p in parts for x in zip(*(y.tolist() for y in p.top(query, 7, 5)), strict=True)), key=lambda x: (-x[1], x[0]))[:5]
+    exact = sorted(((i, sum(int(a) * int(b) for a, b in zip(bsi_topk.whole(values[i : i + 1]).ravel().tolist(), query.tolist(), strict=True))) for i in range(700) if i != 7), key=lambda x: (-x[1], x[0]))[:5]
+    assert found == exact
