@@ -508,8 +508,9 @@ def returned_ids(spark: SparkSession, d: str) -> DataFrame:
     return raw.returned_ids(asked, A.relation(spark, d, RETURNED))
 
 
+#: Shapes of a model's reply; @ stands for the field with a part's name.
 REPLIES = (
-    "{{{}}}", '{{"candidate": null}}', '{{"candidate": 5}}', '{{"candidate": "a", "x": 1}}', "not json", "{{{}}} trailing", '{{{}}}{{"a":1}}', "{{'candidate':'x'}}", " \n{{{}}}\t", "[{{{}}}]", "{{{}}}] {{", '{{{0},{0}}}', '{{"candidate":["x"]}}',
+    "{@}", '{"candidate": null}', '{"candidate": 5}', '{"candidate": "a", "x": 1}', "not json", "{@} trailing", '{@}{"a":1}', "{'candidate':'x'}", " \n{@}\t", "[{@}]", "{@}] {", "{@,@}", '{"candidate":["x"]}',
 )
 
 
@@ -520,12 +521,9 @@ REPLIES = (
 def model_replies(spark: SparkSession, d: str) -> DataFrame:
     """replies that hold a part's name, among them some with more before or after the object, other quotes and a repeated field."""
     p = spark.read.parquet(f"{d}/part.parquet")
-    pair = F.concat(F.lit('"candidate": '), F.to_json(F.array("p_name")).substr(F.lit(2), F.length(F.to_json(F.array("p_name"))) - 2))
-    shapes = []
-    for shape in REPLIES:
-        pieces = shape.replace("{{", "\x01").replace("}}", "\x02").replace("{0}", "{}").split("{}")
-        texts = [F.lit(x.replace("\x01", "{").replace("\x02", "}")) for x in pieces]
-        shapes.append(F.concat(*(c for k, t in enumerate(texts) for c in ([pair, t] if k else [t]))))
+    listed = F.to_json(F.array("p_name"))
+    pair = F.concat(F.lit('"candidate": '), F.substr(listed, F.lit(2), F.length(listed) - 2))
+    shapes = [F.replace(F.lit(shape), F.lit("@"), pair) for shape in REPLIES]
     reply = F.element_at(F.array(*shapes), (F.col("p_partkey") % len(REPLIES) + 1).cast("int"))
     candidate, error = N.parse_reply(F.col("reply"))
     return p.select("p_partkey", reply.alias("reply")).select("p_partkey", candidate.alias("candidate"), error.alias("error"))
@@ -922,11 +920,11 @@ CHUNK_SIZE = 100
 
 @query(
     "evidence_chunks",
-    BASE + f""", numbered AS (SELECT *, (row_number() OVER (PARTITION BY run_id, artist_id ORDER BY video_id) - 1) // {CHUNK_SIZE} AS chunk FROM rated),
+    BASE.replace("WITH all_videos", "WITH RECURSIVE all_videos") + f""", numbered AS (SELECT *, (row_number() OVER (PARTITION BY run_id, artist_id ORDER BY video_id) - 1) // {CHUNK_SIZE} AS chunk FROM rated),
 bodies AS (SELECT run_id, artist_id, chunk::BIGINT AS chunk, count(*) AS n, min(video_id) AS first_id, max(video_id) AS last_id, '[' || string_agg(to_json({{comments: comments, likes: likes,
     rejected: CASE WHEN views IS NULL THEN 'views_null' WHEN views = 0 THEN 'views_null_or_zero' END, video_id: video_id, views: views}})::VARCHAR, ',' ORDER BY video_id) || ']' AS body FROM numbered GROUP BY ALL),
 chained AS (SELECT *, sha256(body) AS chain FROM bodies WHERE chunk = 0 UNION ALL SELECT b.*, sha256(c.chain || b.body) FROM chained AS c JOIN bodies AS b ON b.run_id = c.run_id AND b.artist_id = c.artist_id AND b.chunk = c.chunk + 1)
-SELECT run_id, artist_id, chunk, n, first_id, last_id, sha256(body) AS body, chain FROM chained""".replace("WITH all_videos", "WITH RECURSIVE all_videos", 1),
+SELECT run_id, artist_id, chunk, n, first_id, last_id, sha256(body) AS body, chain FROM chained""",
 )
 def evidence_chunks(spark: SparkSession, d: str) -> DataFrame:
     """A13 in numbered chunks with a chained digest; a body is shown by its digest."""
