@@ -133,6 +133,8 @@ def refuse(error: type[GaugelineError], message: str, **parameters: Column | str
     return F.raise_error(F.concat(F.lit(f"[GAUGELINE.{error.__name__}] "), F.to_json(F.struct(*told)))).cast("string")
 
 
+#: Spark's own conditions that are refusals of the engine.
+CONDITIONS: dict[str, type[GaugelineError]] = {"PATH_ALREADY_EXISTS": IntegrityViolation}
 MARK = re.compile(r"\[GAUGELINE\.(\w+)\] (?=\{)")
 
 
@@ -146,6 +148,8 @@ def typed(error: BaseException) -> BaseException:
                 except ValueError:
                     parameters = {}
                 return of(str(parameters.pop("message", "")), **parameters)
+        if isinstance(error, PySparkException) and (of := CONDITIONS.get(error.getCondition() or "")):
+            return of(str(error).partition("\n")[0])
     return error
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gaugeline.errors import NotNullViolation, refuse
+from gaugeline.errors import NotNullViolation, refuse, typed_errors
 from gaugeline.plans.config import COMPARISON_CONTRACT
 
 
@@ -100,7 +100,8 @@ def latest_facts(facts: DataFrame, resolver_version: str) -> DataFrame:
 
 def freeze(rows: DataFrame, path: str) -> DataFrame:
     """Rows written once and read back; both rounds read this."""
-    rows.write.mode("errorifexists").parquet(path)
+    with typed_errors():
+        rows.write.mode("errorifexists").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gaugeline.errors import CountExpected, FieldMissing, MalformedBody, TextExpected, TransportKeys, WrongKind, refuse
+from gaugeline.errors import CountExpected, FieldMissing, MalformedBody, TextExpected, TransportKeys, WrongKind, refuse, typed_errors
 from gaugeline.functions.strict import strict
 from gaugeline.tables import written
 
@@ -174,8 +174,9 @@ def rfc3339(at: Column) -> Column:
 
 
 def write_run(rows: DataFrame, path: str) -> None:
-    """A run's rows, once: a folder that exists is an error, as an update of raw rows would be."""
-    rows.write.mode("errorifexists").parquet(path)
+    """A run's rows, once: a folder that exists is an error, as an update of raw rows would be. store.RunStore is for many writers."""
+    with typed_errors():
+        rows.write.mode("errorifexists").parquet(path)
 
 
 def new_rows(rows: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gaugeline.errors import FutureVideo, typed_errors
 from gaugeline.functions import scoring as S
 from gaugeline.functions import text as X
 from gaugeline.plans.config import ConfigError, FilterRule, ReportRules, Rubric, manifest_hash
@@ -95,5 +96,5 @@ def test_nulls_are_not_zeros(spark):
 def test_age(spark):
     at = lambda d: F.lit(datetime(2026, 6, d)).cast("timestamp")
     assert one(spark, S.age_days(at(1), at(3))) == 2 and one(spark, S.effective_age(S.age_days(at(3), at(3)))) == 1
-    with pytest.raises(Exception, match="after the window"):
+    with pytest.raises(FutureVideo, match="after the window"), typed_errors():
         one(spark, S.age_days(at(4), at(3)))

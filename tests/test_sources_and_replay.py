@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.errors import BodyError, typed_errors
+from gaugeline.errors import BodyError, IntegrityViolation, NotNullViolation, typed_errors
 from gaugeline.operators import gates, replay
 from gaugeline.sources import raw
 from gaugeline.streaming import quota
@@ -54,12 +54,14 @@ def test_transport_keys(spark):
 def test_runs_are_written_once(spark, tmp_path):
     rows = spark.createDataFrame([("r1", "v")], "run_id string, video_id string")
     raw.write_run(rows, f"{tmp_path}/t/run_id=r1")
-    with pytest.raises(Exception, match="(?i)exists"):
+    with pytest.raises(IntegrityViolation):
         raw.write_run(rows, f"{tmp_path}/t/run_id=r1")
     assert raw.new_rows(rows.union(rows), rows.limit(0), ["run_id", "video_id"]).count() == 1
     assert raw.new_rows(rows, rows, ["run_id", "video_id"]).count() == 0
     assert raw.run_scan(spark, f"{tmp_path}/t", "r1").count() == 1
     assert replay.freeze(rows, f"{tmp_path}/frozen").collect() == rows.collect()
+    with pytest.raises(IntegrityViolation):
+        replay.freeze(rows, f"{tmp_path}/frozen")
 
 
 def test_pagination(spark):
@@ -141,7 +143,7 @@ def test_reviews_need_an_entity(spark):
     waiting = spark.createDataFrame([("r", "v", "Name")], "run_id string, video_id string, candidate string")
     people = lambda a: spark.createDataFrame([("r", "v", True, a)], "run_id string, video_id string, approved boolean, artist_id string")
     assert replay.apply_review(waiting, people("a")).first().final_name == "Name"
-    with pytest.raises(Exception, match="without an entity"):
+    with pytest.raises(NotNullViolation, match="without an entity"), typed_errors():
         replay.apply_review(waiting, people(None)).collect()
 
 
