@@ -89,3 +89,27 @@ def test_stages_drop_what_they_wrote(spark):
     s.drop()
     assert not any(f.exists() for f in files)
     assert NAMES
+
+
+def test_figures_and_streamed_evidence_are_the_artists(spark):
+    """Equal velocities told by id, ones that doubles take for equal, views of null and 0, and more candidates than a part has."""
+    r = many_runs(spark)
+    big = 2**53
+    twins = [("run-golden", f"kw{k}", f"kc{k}", "Kairo Vee Type Beat", v, 3, None, END.replace(day=2)) for k, v in enumerate((big + 1, big, big + 2, None, 0, None, 0, 7))]
+    r = plan.Relations(r.runs, r.videos.unionByName(relations(spark, twins).videos.select(r.videos.columns)), relations(spark, [*GOLDEN, *VIDEOS, *twins]).channels, r.artists, r.names)
+    s = plan.stages(r)
+    videos = exact.timed(s.eligible, r.runs)
+    whole = exact.artists(s.eligible, r.runs)
+    same = [c for c in whole.columns if c not in ("reason", "example")]
+    assert sorted(map(tuple, exact.figures(videos).collect())) == sorted(map(tuple, whole.select(same).collect()))
+    parts = {}
+    for p in exact.evidence(videos, size=4).orderBy("run_id", "artist_id", "part").collect():
+        parts.setdefault((p.run_id, p.artist_id), []).append(p)
+    for a in whole.collect():
+        head, *bodies, tail = parts[a.run_id, a.artist_id]
+        assert head[3:5] == tail[3:5] and head.example == a.example
+        assert {"candidates": json.loads(f"[{''.join(b.body for b in bodies)}]"), **json.loads(head.said)} == json.loads(a.reason)
+    scored = exact.scores(whole)
+    streamed = exact.canonical_reports(r.runs, exact.figures(videos), scored, r.artists, videos=videos)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, exact.canonical_reports(r.runs, whole, scored, r.artists).collect()))
+    assert "FlatMapGroupsInPandas" not in exact.figures(videos)._jdf.queryExecution().toString()
