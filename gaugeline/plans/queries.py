@@ -817,7 +817,7 @@ def model_candidates(spark: SparkSession, d: str) -> DataFrame:
 def exact_scores(spark: SparkSession, d: str) -> DataFrame:
     """The digest tier's scores and ranks, of 50-digit decimals."""
     s = stages_of(spark, d)
-    return exact.scores(exact.artists(s.eligible.drop("window_end"), s.relations.runs)).select("run_id", "rank", "artist_id", "final_score")
+    return exact.scores(exact.figures(exact.timed(s.eligible.drop("window_end"), s.relations.runs))).select("run_id", "rank", "artist_id", "final_score")
 
 
 @query("gate_session_transitions", "SELECT o_orderkey FROM orders WHERE NOT ((o_custkey % 7 = o_orderkey % 6 + 1 AND o_custkey % 7 < 6) OR (o_custkey % 7 = 6 AND o_orderkey % 6 < 5))")
