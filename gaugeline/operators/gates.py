@@ -166,10 +166,14 @@ def handshake(left: DataFrame, right: DataFrame, key: list[str], column: str) ->
 
 def unlike_body(rows: DataFrame, body: str, kind: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """Rows that differ from the body they were projected from. columns: path and type of each column in the body;
-    an absent path is null, and null is never 0."""
-    pairs = [(F.get_json_object(body, "$.kind"), F.lit(kind))]
-    pairs += [(F.col(c), F.get_json_object(body, f"$.{path}").cast(to)) for c, (path, to) in columns.items()]
-    return unequal(rows, pairs)
+    an absent path is null, and null is never 0. A body is parsed once, bound as an array of one, since a filter would else
+    repeat the parse, and whatever makes the body, for each column. A body that isn't JSON has no kind."""
+
+    def differs(parsed: Column) -> Column:
+        at = lambda path: F.try_variant_get(parsed, f"$.{path}", "string")
+        return reduce(Column.__or__, (~F.col(c).eqNullSafe(at(path).cast(to)) for c, (path, to) in columns.items()), ~at("kind").eqNullSafe(F.lit(kind)))
+
+    return rows.where(F.exists(F.array(F.try_parse_json(body)), differs))
 
 
 def is_admin(users: DataFrame, admins: DataFrame) -> DataFrame:
