@@ -156,12 +156,22 @@ def session_transitions() -> list[tuple[str | None, str]]:
     return steps + [(s, "failed") for s in SESSION_STATES[:-1]]
 
 
+#: So many rows go to a task of handshake(), but for the rows of one key.
+TASK_ROWS = 1 << 19
+
+
 def handshake(left: DataFrame, right: DataFrame, key: list[str], column: str) -> DataFrame:
-    """Groups whose rows of ``column`` differ between two stages, with how many only one of them has. Repeated rows count."""
-    one = lambda rows, n: rows.groupBy(*key, column).agg(F.count("*").alias(n))
-    a, b = one(left, "__l"), one(right, "__r")
-    both = a.join(b, [*key, column], "full").select(*key, F.greatest(F.coalesce("__l", F.lit(0)) - F.coalesce("__r", F.lit(0)), F.lit(0)).alias("l"), F.greatest(F.coalesce("__r", F.lit(0)) - F.coalesce("__l", F.lit(0)), F.lit(0)).alias("r"))
-    return both.groupBy(*key).agg(F.sum("l").alias("only_left"), F.sum("r").alias("only_right")).where("only_left > 0 OR only_right > 0")
+    """Groups whose rows of ``column`` differ between two stages, with how many only one of them has. Repeated rows count;
+    rows with a null are like no others.
+
+    Rows of both stages are counted against each other after one shuffle by key, to as many tasks as the rows need."""
+    alone = reduce(Column.__or__, (F.col(c).isNull() for c in (*key, column)))
+    one = lambda rows, n: rows.select(*key, column, F.when(alone, n).alias("__alone"), F.lit(n).cast("long").alias("__n"))
+    both = one(left, 1).unionByName(one(right, -1))
+    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(max(least, (left.count() + right.count()) // TASK_ROWS + 1), *key)
+    net = dealt.groupBy(*key, column, "__alone").agg(F.sum("__n").alias("__n"))
+    return net.groupBy(*key).agg(F.sum(F.greatest("__n", F.lit(0))).alias("only_left"), F.sum(F.greatest(-F.col("__n"), F.lit(0))).alias("only_right")).where("only_left > 0 OR only_right > 0")
 
 
 def unlike_body(rows: DataFrame, body: str, kind: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
