@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,19 +45,21 @@ def carries_transport(body: Column) -> Column:
 
 def checked(body: Column, kind: str, texts: tuple[str, ...]) -> Column:
     """A body that may be projected, or an error: it is one JSON value and nothing else, has the kind, no transport keys (P4),
-    and text at the paths if anything. A key that an object repeats is refused with what isn't JSON."""
-    whole = strict(body)
-    strange = F.lit(False)
-    for path in texts:
-        said = F.schema_of_variant(F.try_variant_get(whole, f"$[0].{path}", "variant"))
-        strange = strange | F.coalesce(~said.isin("STRING", "VOID"), F.lit(False))
-    return (
-        F.when(body.isNotNull() & whole.isNull(), refuse(MalformedBody, "the body isn't one JSON value"))
-        .when(carries_transport(body), refuse(TransportKeys, "the body carries transport keys"))
-        .when(~F.get_json_object(body, "$.kind").eqNullSafe(F.lit(kind)), refuse(WrongKind, "the body is of another kind", expected=kind))
-        .when(strange, refuse(TextExpected, "a text of the body isn't text", kind=kind))
-        .otherwise(body)
-    )
+    and text at the paths if anything. A key that an object repeats is refused with what isn't JSON. What is asked of a body is
+    asked of one parse, bound as an array's one element."""
+
+    def told(whole: Column) -> Column:
+        at = lambda path: F.try_variant_get(whole, f"$[0].{path}", "variant")
+        strange = reduce(Column.__or__, (F.coalesce(~F.schema_of_variant(at(path)).isin("STRING", "VOID"), F.lit(False)) for path in texts), F.lit(False))
+        return (
+            F.when(body.isNotNull() & whole.isNull(), refuse(MalformedBody, "the body isn't one JSON value"))
+            .when(reduce(Column.__or__, (at(key).isNotNull() for key in TRANSPORT_KEYS)), refuse(TransportKeys, "the body carries transport keys"))
+            .when(~F.try_variant_get(whole, "$[0].kind", "string").eqNullSafe(F.lit(kind)), refuse(WrongKind, "the body is of another kind", expected=kind))
+            .when(strange, refuse(TextExpected, "a text of the body isn't text", kind=kind))
+            .otherwise(body)
+        )
+
+    return F.transform(F.array(strict(body)), told)[0]
 
 
 def project_videos(bodies: DataFrame) -> DataFrame:
