@@ -1,7 +1,7 @@
 """Landed response bodies as a data source of Spark.
 
 Bodies are landed as JSON text sequences: each between a record separator and a line feed, byte for byte as it came, in
-files under ``run_id=<run>/page=<page>``. The source plans one partition for each file, so runs and pages are read side by
+gzip files (files that aren't are read too) under ``run_id=<run>/page=<page>``. The source plans one partition for each file, so runs and pages are read side by
 side, and a file is read in pieces, so only one body is held. A filter on run_id or page that the engine pushes down
 leaves out the folders of other runs and pages before any task is planned.
 
@@ -32,7 +32,7 @@ def land(bodies: DataFrame, folder: str) -> None:
     """Lands bodies (run_id, page, body) once: a folder that exists is an error. JSON has no record separator; a body with one, or null, is refused."""
     refused = refuse(MalformedBody, "a body is null or holds a record separator", run_id=F.col("run_id"), page=F.col("page"))
     body = F.when(F.col("body").isNull() | F.contains("body", F.lit(SEPARATOR)), refused).otherwise(F.concat(F.lit(SEPARATOR), F.col("body")))
-    bodies.select("run_id", "page", body.alias("value")).hint("rebalance", "run_id", "page").write.partitionBy("run_id", "page").text(folder)
+    bodies.select("run_id", "page", body.alias("value")).hint("rebalance", "run_id", "page").write.partitionBy("run_id", "page").text(folder, compression="gzip")
 
 
 def _system(path: str):  # noqa: ANN202
