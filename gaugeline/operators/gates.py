@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType
 
 from gaugeline.errors import CheckViolation, ForeignKeyViolation, GateError
 
@@ -56,6 +57,20 @@ class ForeignKey:
     refers_to: tuple[str, ...]
 
 
+#: What JSON escapes in a text.
+ESCAPED = r'["\\\x00-\x1f]'
+
+
+def listed(rows: DataFrame, columns: tuple[str, ...]) -> Column:
+    """The columns' values as a JSON list of texts. Only texts with something to escape are put through to_json()."""
+    values = [F.col(c).cast("string") for c in columns]
+    plain = F.concat(F.lit('["'), *[x for v in values for x in (v, F.lit('","'))][:-1], F.lit('"]'))
+    texts = [F.col(c) for c in columns if not isinstance(rows.schema[c].dataType, (NumericType, DateType))]
+    if not texts:
+        return plain
+    return F.when(reduce(Column.__or__, (t.cast("string").rlike(ESCAPED) for t in texts)), F.to_json(F.array(*values))).otherwise(plain)
+
+
 def foreign_keys(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
     """J12 for all foreign keys together: foreign_key, orphan (its values as a JSON list of texts) and n, the child rows that have it.
 
@@ -64,8 +79,8 @@ def foreign_keys(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFr
     value is missing, never that it is there, so on good data it would spare nothing. A key with a null refers to nothing."""
 
     def values(table: str, side: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
-        whole = [F.when(reduce(Column.__and__, (F.col(c).isNotNull() for c in columns)), F.struct(F.lit(name).alias("foreign_key"), F.to_json(F.array(*(F.col(c).cast("string") for c in columns))).alias("orphan"))) for name, columns in side]
-        return tables[table].select(F.explode(F.array_compact(F.array(*whole))).alias("v")).select("v.*").groupBy("foreign_key", "orphan").agg(F.count("*").alias("n"))
+        whole = [F.when(reduce(Column.__and__, (F.col(c).isNotNull() for c in columns)), F.struct(F.lit(name).alias("foreign_key"), listed(tables[table], columns).alias("orphan"))) for name, columns in side]
+        return tables[table].select(F.explode(F.array(*whole)).alias("v")).where("v IS NOT NULL").select("v.*").groupBy("foreign_key", "orphan").agg(F.count("*").alias("n"))
 
     def all_of(sides: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
         by_table: dict[str, list[tuple[str, tuple[str, ...]]]] = {}

@@ -51,3 +51,16 @@ def test_landed_bodies_take_less_room_than_their_text(spark, tmp_path):
     files = [p for p in Path(f"{tmp_path}/l").rglob("part-*") if not p.name.endswith(".crc")]
     assert sum(p.stat().st_size for p in files) < len(body) * 2000 / 5
     assert {r.body for r in landed.read_landed(spark, f"{tmp_path}/l").collect()} == {body}
+
+
+def test_values_of_foreign_keys_are_json_without_a_parse_a_row(spark):
+    texts = ["a", 'q"', "b\\", "\x01\n", "é,", "", '","']
+    rows = spark.createDataFrame([(k, t, t) for k, t in enumerate(texts)] + [(None, "a", "a")], "n long, t string, u string")
+    got = rows.select(gates.listed(rows, ("t", "n", "u")).alias("x"), F.to_json(F.array("t", F.col("n").cast("string"), "u")).alias("y"), gates.listed(rows, ("n",)).alias("z"), "n").where("n IS NOT NULL").collect()
+    assert [r.x for r in got] == [r.y for r in got] and [r.z for r in got] == [f'["{r.n}"]' for r in got]
+    none = rows.where("n < 0")
+    tables = {"c": rows, "p": none}
+    keys = [gates.ForeignKey("n", "c", ("n",), "p", ("n",)), gates.ForeignKey("t", "c", ("t", "u"), "p", ("t", "u"))]
+    found = gates.foreign_keys(tables, keys)
+    assert {(r.foreign_key, r.orphan, r.n) for r in found.collect()} >= {("n", '["0"]', 1), ("t", '["a","a"]', 2), ("t", json.dumps(['q"', 'q"'], separators=(",", ":")), 1)}
+    assert "array_compact" not in optimized(found) and "filter(array" not in optimized(found)
