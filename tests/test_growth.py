@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from gaugeline.operators import gates
+from gaugeline.operators import gates, locators
 from gaugeline.sources import landed, raw
 
 VIDEO = {"kind": raw.VIDEO_KIND, "id": "v", "snippet": {"channelId": "c", "title": "[a] b", "publishedAt": "2026-01-01T00:00:00Z"}, "statistics": {"viewCount": "7"}}
@@ -64,3 +64,10 @@ def test_values_of_foreign_keys_are_json_without_a_parse_a_row(spark):
     found = gates.foreign_keys(tables, keys)
     assert {(r.foreign_key, r.orphan, r.n) for r in found.collect()} >= {("n", '["0"]', 1), ("t", '["a","a"]', 2), ("t", json.dumps(['q"', 'q"'], separators=(",", ":")), 1)}
     assert "array_compact" not in optimized(found) and "filter(array" not in optimized(found)
+
+
+def test_runs_of_locators_are_worked_out_once(spark):
+    texts = spark.createDataFrame([(1, "see a/b.md:12 and é.py:3, _x.py:4\nnone"), (2, None), (3, ""), (4, "-./a.b.py/c.md.x.ts:7 …d.js:8")], "id int, text string")
+    found = locators.findings(texts)
+    assert sorted((r.id, r.cited_path, r.snippet) for r in found.collect()) == [(1, "_x.py", ":4"), (1, "a/b.md", ":12"), (1, "a/b.md", ":3"), (4, "a.b.py/c.md.x.ts", ":7"), (4, "d.js", ":8")]
+    assert "size(transform" not in optimized(found) and "size(split" not in optimized(found)
