@@ -42,11 +42,13 @@ def examples(videos: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def report(scores: DataFrame, videos: DataFrame, artists: DataFrame, rules: ReportRules | None = None) -> DataFrame:
-    """The report's rows: the shown artists, a few a run, with the example of each."""
+    """The report's rows: the shown artists, a few a run, with the example of each.
+
+    Only videos from an artist's fast_from on can be among its three fastest; the others aren't sorted."""
     rules = rules or ReportRules()
     said = ("rank", "tag", "final_score", "signals", "velocity_median", "competition", "recent_7d", "prior_7d")
     # What is said of the shown artists goes with their videos, so the ranking is worked out and joined once.
-    of_shown = videos.join(shown(scores, rules).select("run_id", "artist_id", *said), ["run_id", "artist_id"])
+    of_shown = videos.join(shown(scores, rules).select("run_id", "artist_id", "fast_from", *said), ["run_id", "artist_id"]).where(F.col("fast_from").isNull() | (F.col("vel") >= F.col("fast_from")))
     joined = examples(of_shown, said).join(artists.select("artist_id", "canonical_name"), "artist_id")
     return joined.select(
         "run_id", "rank", "artist_id",

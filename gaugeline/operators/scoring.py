@@ -16,12 +16,14 @@ from gaugeline.plans.config import ReportRules, Rubric
 from gaugeline.tables import written
 
 
-def measured(eligible: DataFrame, runs: DataFrame, rubric: Rubric | None = None) -> DataFrame:
+def measured(eligible: DataFrame, runs: DataFrame, rubric: Rubric | None = None, *, strict: bool = True) -> DataFrame:
     """eligible with age (effective), vel, eng and weight; runs: run_id, window_end, not needed by videos that carry it.
-    J5's numbers stay with the videos."""
+    J5's numbers stay with the videos. A video from after the window raises (G15), unless not ``strict``: before it is known
+    which videos are eligible, it is taken as of the window's end, and videos without a run stay."""
     rubric = rubric or Rubric()
-    timed = eligible if "window_end" in eligible.columns else eligible.join(runs.select("run_id", "window_end"), "run_id")
-    aged = timed.withColumn("age", S.effective_age(S.age_days(F.col("published_at"), F.col("window_end")), rubric))
+    timed = eligible if "window_end" in eligible.columns else eligible.join(runs.select("run_id", "window_end"), "run_id", "inner" if strict else "left")
+    published = F.col("published_at") if strict else F.least("published_at", "window_end")
+    aged = timed.withColumn("age", S.effective_age(S.age_days(published, F.col("window_end")), rubric))
     return aged.withColumn("vel", S.velocity(F.col("views"), F.col("age"))).withColumn("eng", S.engagement_rate(F.col("likes"), F.col("comments"), F.col("views"))).withColumn("weight", S.recency_weight(F.col("age"), rubric))
 
 
@@ -34,21 +36,34 @@ def publications(rules: ReportRules | None = None) -> list[Column]:
     return [F.count_if((at > recent) & (at <= F.col("window_end"))).alias("recent_7d"), F.count_if((at > prior) & (at <= recent)).alias("prior_7d")]
 
 
-def artist_metrics(videos: DataFrame, rules: ReportRules | None = None, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def by_channel(videos: DataFrame, rules: ReportRules | None = None) -> DataFrame:
+    """What adds up of an artist's videos, by channel: n, parts of the engagement, publication counts, the fastest video's velocity."""
+    rated = F.col("eng").isNotNull()
+    weighted, weight = F.sum(F.when(rated, F.col("weight") * F.col("eng"))), F.sum(F.when(rated, F.col("weight")))
+    return videos.groupBy("run_id", "artist_id", "channel_id").agg(F.count("video_id").alias("n"), weighted.alias("__weighted"), weight.alias("__weight"), *publications(rules), F.max("vel").alias("fastest"))
+
+
+def artist_metrics(videos: DataFrame, rules: ReportRules | None = None, *, hot_rows: int = HOT_ROWS, channels: DataFrame | None = None) -> DataFrame:
     """Signals, competition, velocity_median, engagement and publication counts of each artist.
 
-    videos has one row a video (gate G5). What adds up is summed by channel first, which also counts the channels and is
-    written; by its counts the exact median of an artist of more than ``hot_rows`` videos is selected and not gathered."""
-    rated, key = F.col("eng").isNotNull(), ["run_id", "artist_id"]
-    weighted, weight = F.sum(F.when(rated, F.col("weight") * F.col("eng"))), F.sum(F.when(rated, F.col("weight")))
-    by_channel = written(videos.groupBy(*key, "channel_id").agg(F.count("video_id").alias("n"), weighted.alias("__weighted"), weight.alias("__weight"), *publications(rules)), "by_channel")
-    sums = by_channel.groupBy(*key).agg(
+    videos has one row a video (gate G5). What adds up is summed by channel first, which also counts the channels (``channels``: that
+    is known), then by artist and written; by its counts the exact median of an artist of more than ``hot_rows`` videos is selected and
+    not gathered. Of channels dealt into three parts, each part's fastest video is another one, so the least of the three velocities
+    isn't above the artist's third fastest. fast_from is a little below it, for what is rounded to eight decimals; it is null where
+    a part has no velocity."""
+    key = ["run_id", "artist_id"]
+    channels = written(by_channel(videos, rules), "by_channel") if channels is None else channels
+    part = F.pmod(F.hash("channel_id"), F.lit(3))
+    fastest = [F.max(F.when(part == k, F.col("fastest"))) for k in range(3)]
+    least = F.when(fastest[0].isNotNull() & fastest[1].isNotNull() & fastest[2].isNotNull(), F.least(*fastest))
+    sums = written(channels.groupBy(*key).agg(
         F.sum("n").alias("signals"),
         F.count("channel_id").alias("competition"),
         F.try_divide(F.sum("__weighted"), F.sum("__weight")).alias("engagement"),
         F.sum("recent_7d").alias("recent_7d"),
         F.sum("prior_7d").alias("prior_7d"),
-    )
+        (least - 1e-7 - 1e-12 * F.abs(least)).alias("fast_from"),
+    ), "sums")
     medians = percentiles(videos, key, "vel", {"velocity_median": 0.5}, hot_rows=hot_rows, sizes=sums.select(*key, F.col("signals").alias("n")))
     return sums.join(medians, key)
 

@@ -121,6 +121,63 @@ def test_plan_has_no_python_and_prunes(spark):
     spark.catalog.clearCache()
 
 
+def test_videos_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def told(title):
+        made.add(1)
+        return title
+
+    r = relations(spark, GOLDEN)
+    counting = r.videos.withColumn("source_title", F.udf(told, "string")("source_title"))
+    assert plan.report(plan.Relations(r.runs, counting, r.channels, r.artists, r.names)).count() == 3
+    assert made.value == len(GOLDEN)
+
+
+def test_verdicts_make_no_list_of_artists(spark):
+    rows = [(*x[:2], "own", *x[3:]) for x in GOLDEN[:4]] + [(*x[:2], "own", *x[3:]) for x in GOLDEN[20:22]] + GOLDEN[40:]
+    s = plan.stages(relations(spark, rows, titles={"own": "nova-blade", "rs-ch-01": "Kairo Vee"}))
+    got = C.verdicts(s.mapped, s.relations.channels, s.relations.names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, s.verdicts.collect()))
+    assert {(x.channel_id, x.run_videos) for x in got.where("reason_code = 'self_channel'").collect()} == {("own", 6)}
+    assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_videos_that_can_be_examples_are_sorted(spark):
+    def rows(artist, n, channels, views):
+        return [("run", f"{artist}{i:03d}", f"{artist}-{i % channels}", f"{artist} Type Beat", views(i), 9, 9, datetime(2026, 6, 1 + i % 29)) for i in range(n)]
+
+    names = [(f"artist-{a}", a) for a in ("Ann", "Bob", "Cyd", "Dee")]
+    videos = [*rows("Ann", 200, 40, lambda i: 40000 + i * 7919 % 400), *rows("Bob", 60, 2, lambda i: 50000), *rows("Cyd", 90, 30, lambda i: None if i % 7 else 40000 + i), *rows("Dee", 50, 9, lambda i: None)]
+    s = plan.stages(relations(spark, videos, names))
+    by_artist = {}
+    for x in s.measured.collect():
+        by_artist.setdefault(x.artist_id, []).append(-1.0 if x.vel is None else x.vel)
+    for x in s.scores.collect():
+        third = sorted(by_artist[x.artist_id])[-3]
+        assert x.fast_from is None or x.fast_from <= third
+        assert x.fast_from is not None or x.artist_id in ("artist-Bob", "artist-Dee")
+        if x.artist_id == "artist-Ann":
+            assert sum(v >= x.fast_from for v in by_artist[x.artist_id]) < 40
+    whole = {(x.artist_id, x.example_video_id, x.rule_applied) for x in R.examples(s.measured).collect()}
+    shown = {(x.artist_id, x.example_video_id, x.rule_applied) for x in plan.report(s.relations).collect()}
+    assert len(shown) > 1 and shown <= whole
+
+
+def test_keys_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7))
+    plan.check(relations(spark, GOLDEN))
+    with pytest.raises(GateError, match="one row a video"):
+        plan.check(relations(spark, [*GOLDEN, GOLDEN[0]]))
+
+
+def test_only_eligible_videos_raise_for_the_future(spark):
+    late = ("run", "late", "own", "Rune Sol Type Beat", 5, 1, 1, END + timedelta(days=1))
+    assert {x.artist_id for x in plan.stages(relations(spark, [*GOLDEN, late], titles={"own": "Rune Sol"})).scores.collect()} == {a for a, _ in NAMES}
+    with pytest.raises(Exception, match="after the window"):
+        plan.stages(relations(spark, [*GOLDEN, late])).scores.collect()
+
+
 def test_gates_fail_closed(spark):
     r = relations(spark, [GOLDEN[0], GOLDEN[0]])
     with pytest.raises(GateError, match="one row a video"):
